@@ -35,10 +35,10 @@ reach as (select rank, count(*) * max(block) as words from drawn cross join size
 line as (
   select d.doc_id, d.source, d.size, t.source_size, t.target, coalesce(r.words, 0) as words,
          coalesce(sum(d.size) over (partition by d.source order by xor(d.t, d.t >> 16), d.doc_id, d.size
-           rows between unbounded preceding and 1 preceding), 0) as at
+           rows between unbounded preceding and 1 preceding), 0) as pos
   from docs d join targets t on d.source is not distinct from t.source left join reach r on t.rank = r.rank)
 select doc_id, size, source_size, target,
-       cast(greatest(0, least(size, words - at)) + greatest(0, least(size, words - source_size - at)) as bigint) as taken, source
+       cast(greatest(0, least(size, words - pos)) + greatest(0, least(size, words - source_size - pos)) as bigint) as taken, source
 from line"""
 
 #: op8 has none: DuckDB has no CRC-32, so a test holds it against plain Python instead.
