@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from .chat import op1_chat_format
 from .mixing import op10_source_mix
 from .sharding import op8_feistel_shards
+from .spotsigs import op2_spotsigs
 from .sql import ORACLE_SQL  # noqa: F401  read through this module
 
 QUERIES = {
+    "op1_chat_format": op1_chat_format,
+    "op2_spotsigs": op2_spotsigs,
     "op8_feistel_shards": op8_feistel_shards,
     "op10_source_mix": op10_source_mix,
 }
