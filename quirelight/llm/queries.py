@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import op1_chat_format
 from .mixing import op10_source_mix
+from .packing import op7_packing
 from .sharding import op8_feistel_shards
 from .spotsigs import op2_spotsigs
 from .sql import ORACLE_SQL  # noqa: F401  read through this module
@@ -11,6 +12,7 @@ from .sql import ORACLE_SQL  # noqa: F401  read through this module
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_spotsigs": op2_spotsigs,
+    "op7_packing": op7_packing,
     "op8_feistel_shards": op8_feistel_shards,
     "op10_source_mix": op10_source_mix,
 }
