@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import op1_chat_format
 from .mixing import op10_source_mix
 from .packing import op7_packing
+from .secrets import op9_secret_scan
 from .sharding import op8_feistel_shards
 from .spotsigs import op2_spotsigs
 from .sql import ORACLE_SQL  # noqa: F401  read through this module
@@ -14,5 +15,6 @@ QUERIES = {
     "op2_spotsigs": op2_spotsigs,
     "op7_packing": op7_packing,
     "op8_feistel_shards": op8_feistel_shards,
+    "op9_secret_scan": op9_secret_scan,
     "op10_source_mix": op10_source_mix,
 }
