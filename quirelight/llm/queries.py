@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import op1_chat_format
+from .minhash import op6_minhash
 from .mixing import op10_source_mix
 from .packing import op7_packing
 from .secrets import op9_secret_scan
@@ -13,6 +14,7 @@ from .sql import ORACLE_SQL  # noqa: F401  read through this module
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_spotsigs": op2_spotsigs,
+    "op6_minhash": op6_minhash,
     "op7_packing": op7_packing,
     "op8_feistel_shards": op8_feistel_shards,
     "op9_secret_scan": op9_secret_scan,
