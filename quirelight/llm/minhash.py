@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..plans.storage import Scratch
 from .components import components
@@ -280,6 +281,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         given(F.col("doc_id")).alias("doc_id"), "n_shingles", given(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
+def without_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """One document of each component, the one with the least doc_id, with all columns of docs(doc_id, text, ...).
+
+    Rows that share a doc_id are one document, of which the row with the least text stays.
+    """
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))
+    kept = near_duplicates(docs.select("doc_id", "text"), percent).filter("kept").select(key.alias("__key"))
+    nth = F.row_number().over(Window.partitionBy("__key").orderBy("text"))
+    return docs.withColumn("__key", key).join(kept, "__key", "left_semi").withColumn("__nth", nth).filter("__nth = 1").select(*docs.columns)
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents at a similarity of 0.85."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), 85)

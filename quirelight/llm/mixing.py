@@ -132,6 +132,27 @@ def mix(docs: DataFrame, epochs: float = 1.5, repeats: int = 2, weights: tuple[i
     return documents, plan.drop("part", "place")
 
 
+def mixed_documents(docs: DataFrame, epochs: float = 1.5, repeats: int = 2) -> DataFrame:
+    """The documents a mix consists of, with the columns of docs(doc_id, text, source, ...).
+
+    A document of which the mix takes n words stands n div size times in full; a rest, which only the
+    documents at the end of a source's line have, stands as a document of its first words joined by
+    blanks. Documents of which nothing is taken go. n_chars, where there is one, is that of the text.
+    """
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    taken, _ = mix(docs.select("doc_id", "source", words_in(F.col("text")).alias("size")), epochs, repeats)
+    taken = taken.filter("taken > 0").groupBy(key.alias("__key")).agg(F.max("size").alias("__size"), F.max("taken").alias("__taken"))
+    rest = F.col("__taken") % F.col("__size")
+    copies = F.concat(F.array_repeat(F.col("__size"), F.floor(F.col("__taken") / F.col("__size")).cast("int")),
+                      F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
+    parts = docs.withColumn("__key", key).join(taken, "__key").withColumn("__words", F.explode(copies))
+    some = F.array_join(F.slice(F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+"), F.lit(1), F.col("__words").cast("int")), " ")
+    parts = parts.withColumn("text", F.when(F.col("__words") < F.col("__size"), some).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        parts = parts.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return parts.select(*docs.columns)
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the weights 5, 2, 1: doc_id, size, source_size, target, taken, source."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", words_in(F.col("text")).alias("size"))

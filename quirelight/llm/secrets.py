@@ -164,6 +164,22 @@ def find_secrets(docs: DataFrame, words: tuple[str, ...] = tuple(WORDS), least_b
     return rows.mapInArrow(run, f"doc_id long, spans {SPANS}" + (", text string" if redacted else ""))
 
 
+def redacted_documents(docs: DataFrame, least_bits: float = LEAST_BITS) -> DataFrame:
+    """docs with the secrets in column text replaced by a mark, all other columns as they are; a null text stays null."""
+    ranks = {w: i for i, w in reversed(list(enumerate(WORDS)))}
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 500):
+                part = batch.slice(first, 500)
+                texts = part.column(at).to_pylist()
+                new = [t and (redact(t, s) if (s := scan(t, ranks, least_bits)) else t) for t in texts]
+                yield part.set_column(at, part.schema.field(at), pa.array(new, part.schema.field(at).type))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
