@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audits, evaluations, qualities, searching, states
+from . import audits, evaluations, layouts, qualities, searching, states
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (searching, qualities, audits, states, evaluations):
+for _module in (searching, qualities, audits, states, evaluations, layouts):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
 
