@@ -36,7 +36,7 @@ SAMPLE = 1_500
 #: A word or beginning marks a token if toxic documents hold it TIMES as often as clean ones, and so many of
 #: them that the log-likelihood ratio against the clean rate is EVIDENCE. Toxic documents that share ALIKE of
 #: their word pairs with an earlier one count once, or all words of a much copied document would mark.
-TIMES, EVIDENCE, ALIKE = 15.0, 12.0, 0.3
+TIMES, EVIDENCE, ALIKE = 15.0, 16.0, 0.3
 AROUND = 12  # tokens on each side of a tagged one that a window holds
 WINDOWS = 6_000
 EPOCHS, BATCH, RATE, DECAY = 40, 256, 0.1, 1e-5
