@@ -203,7 +203,10 @@ def pack_histogram(histogram: dict[int, int], longest: int = SEQUENCE) -> list[t
     """Patterns (length, first rank, number, first sequence, offset) for the counts of each length.
 
     Sequences of equal fill are kept as ranges, so the work follows the number of ranges, not of pieces.
+    New sequences begin one a piece up to the number that all tokens fill at least; beyond that only as
+    many as the pieces left need when they share them.
     """
+    needed = -(-sum(n * k for n, k in histogram.items()) // longest)
     patterns: list[tuple[int, int, int, int, int]] = []
     least: list[tuple[int, int, int]] = []  # fill, first sequence, number
     sequences = 0
@@ -216,8 +219,9 @@ def pack_histogram(histogram: dict[int, int], longest: int = SEQUENCE) -> list[t
                 if used < number:
                     heapq.heappush(least, (fill, first + used, number - used))
             else:
-                fill, first, used = 0, sequences, left
-                sequences += left
+                shared = -(-left // (longest // length))
+                fill, first, used = 0, sequences, max(shared, min(left, needed - sequences))
+                sequences += used
             patterns.append((length, rank, used, first, fill))
             if fill + length < longest:
                 heapq.heappush(least, (fill + length, first, used))
