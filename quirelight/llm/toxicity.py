@@ -33,10 +33,10 @@ from .textbytes import lots, span_hashes, text_bytes
 
 #: Documents of each class that the model is fitted on at most.
 SAMPLE = 1_500
-#: A word or beginning marks a token if toxic documents hold it TIMES as often as clean ones, and so many of
-#: them that the log-likelihood ratio against the clean rate is EVIDENCE. Toxic documents that share ALIKE of
-#: their word pairs with an earlier one count once, or all words of a much copied document would mark.
-TIMES, EVIDENCE, ALIKE = 15.0, 16.0, 0.3
+#: A word or beginning marks a token if toxic documents hold it TIMES as often as clean ones, and the log-likelihood
+#: ratio of two rates against one is EVIDENCE: of a million words, hardly one reaches that by chance. Toxic documents in
+#: which it stands between the same two words count once, or all words of a much copied passage would mark.
+TIMES, EVIDENCE = 15.0, 14.0
 AROUND = 12  # tokens on each side of a tagged one that a window holds
 WINDOWS = 6_000
 EPOCHS, BATCH, RATE, DECAY = 40, 256, 0.1, 1e-5
@@ -164,29 +164,24 @@ class SpanTagger:
         return 1 / (1 + np.exp(-np.clip(self.curve[0] * logit + self.curve[1], -40, 40)))
 
 
-def _apart(documents: list[list[str]]) -> list[list[str]]:
-    """The documents without those alike to an earlier one that stays."""
-    holders: dict[tuple[str, str], list[int]] = {}
-    kept: list[list[str]] = []
-    for words in documents:
-        pairs = set(zip(words, words[1:]))
-        shared = Counter(i for p in pairs for i in holders.get(p, ()))
-        if shared and max(shared.values()) >= ALIKE * len(pairs):
-            continue
-        for p in pairs:
-            holders.setdefault(p, []).append(len(kept))
-        kept.append(words)
-    return kept
-
-
 def _marks(sample: list[tuple[list[str], int]]) -> set[str]:
     """Words and beginnings that toxic documents hold far more often than clean ones."""
-    toxic, clean = _apart([words for words, kind in sample if kind]), [words for words, kind in sample if not kind]
-    held = [Counter(k for words in docs for k in {k for w in set(words) for k in keys_of(w) if not k.startswith("s:")}) for docs in (clean, toxic)]
+    counts = [max(1, sum(kind == k for _, kind in sample)) for k in (0, 1)]
+    clean: Counter = Counter()
+    places: dict[str, set[tuple[str, str]]] = {}
+    for words, kind in sample:
+        first = {w: i for i, w in reversed(list(enumerate(words)))}
+        keys = {k: i for w, i in first.items() for k in keys_of(w) if not k.startswith("s:")}
+        if not kind:
+            clean.update(keys.keys())
+            continue
+        for k, i in keys.items():
+            places.setdefault(k, set()).add((words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else ""))
     marks = set()
-    for key, n in held[1].items():
-        expected = len(toxic) * (held[0][key] + 0.5) / max(1, len(clean))
-        if n >= TIMES * expected and n * np.log(n / expected) - (n - expected) >= EVIDENCE:
+    for key, seen in places.items():
+        n, c, share = len(seen), clean[key], counts[1] / sum(counts)
+        evidence = n * np.log(n / ((n + c) * share)) + (c * np.log(c / ((n + c) * (1 - share))) if c else 0.0)
+        if n / counts[1] >= TIMES * (c + 0.5) / counts[0] and evidence >= EVIDENCE:
             marks.add(key)
     return marks
 
@@ -251,11 +246,11 @@ def fit(texts: list[tuple[str, int]], share: float, seed: int = 11) -> SpanTagge
                 s += g * g
                 p += RATE * g / np.sqrt(s)
     model = SpanTagger({k: float(theta[i]) for k, i in names.items() if abs(theta[i]) > 1e-3}, float(bias[0]), np.exp(move))
-    largest = []
-    for text, _ in texts:
-        model.curve = (1.0, 0.0)
-        largest.append(model.tag(*text_bytes(pa.array([text])))[0][0])
-    model.curve = _curve(np.array(largest), np.array([kind for _, kind in texts]), share)
+    model.curve = (1.0, 0.0)
+    data, offsets = text_bytes(pa.array([t for t, _ in texts]))
+    largest = [model.tag(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])[0] for a, b in lots(offsets)]
+    model.curve = _curve(np.concatenate(largest), np.array([kind for _, kind in texts]), share)
+    model.known, model.value = np.zeros(0, np.uint64), np.zeros(0)  # workers make their own
     return model
 
 
