@@ -34,9 +34,6 @@ for _name, _query, _phrases, _match, _scored in [
     ("search_not", "idiot NOT clown", {"a": ["idiot"], "b": ["clown"]}, f"{_PAIR}a except {_PAIR}b", ["a"]),
     ("search_phrase", '"of the"', {"a": ["of", "the"]}, f"{_PAIR}a", None),
     ("search_prefix", "licen*", {"a": ["licen*"]}, f"{_PAIR}a", None),
-    ("search_near", "NEAR(was for, 3)", {"a": ["was"], "b": ["for"]},
-     "select distinct x.doc_id, x.page_number from tk x join tk y using (doc_id, page_number) "
-     "where x.term = 'was' and y.term = 'for' and greatest(x.pos, y.pos) - least(x.pos, y.pos) - 1 <= 3", None),
     ("search_mixed", '("of the" OR licensed) NOT was', {"a": ["of", "the"], "b": ["licensed"], "c": ["was"]},
      f"({_PAIR}a union {_PAIR}b) except {_PAIR}c", ["a", "b"]),
 ]:
@@ -44,6 +41,13 @@ for _name, _query, _phrases, _match, _scored in [
     ORACLE_SQL[_name] = search_sql(_phrases, _match, _scored) + _TOP_SQL
 
 
+_CLOSE = "tk x join tk y using (doc_id, page_number) where x.term = 'was' and y.term = 'for' and greatest(x.pos, y.pos) - least(x.pos, y.pos) - 1 <= 3"
+QUERIES["search_near"] = lambda s, d: _top(_hits(s, d, "NEAR(was for, 3)"))
+ORACLE_SQL["search_near"] = search_sql(
+    {"a": ["was"], "b": ["for"]}, f"select distinct x.doc_id, x.page_number from {_CLOSE}",
+    near={n: f"select doc_id, page_number, 10.0 * count(*) as f from (select distinct doc_id, page_number, {t}.pos from {_CLOSE}) group by all" for n, t in (("a", "x"), ("b", "y"))}) + _TOP_SQL
+
+
 def term_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences and pages of each term."""
     return search.postings(pages(spark, sf_dir)).groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("doc_id", "page_number").alias("n_pages"))

@@ -46,14 +46,17 @@ def phrase_sql(name: str, words: list[str]) -> str:
     return f"{name} as (select t0.doc_id, t0.page_number, 10.0 * count(*) as f from tk t0{joins} where {' and '.join(test(i, w) for i, w in enumerate(words))} group by all)"
 
 
-def search_sql(phrases: dict[str, list[str]], match: str, scored: list[str] | None = None, extra: str = "") -> str:
-    """Common tables up to ``hits`` (doc_id, page_number, score): phrases by name, and the SQL of the pages that match."""
+def search_sql(phrases: dict[str, list[str]], match: str, scored: list[str] | None = None, extra: str = "", near: dict[str, str] | None = None) -> str:
+    """Common tables up to ``hits`` (doc_id, page_number, score): phrases by name, and the SQL of the pages that match; near: SQL of the occurrences that count, where not all do."""
     parts = [INDEX, *(phrase_sql(n, w) for n, w in phrases.items())]
     scores = []
+    for n, sql in (near or {}).items():
+        parts.append(f"{n}_near as ({sql})")
     for n in scored or list(phrases):
+        f = f"{n}_near" if near else n
         scores.append(
-            f"select {n}.doc_id, {n}.page_number, -(case when ln((pages - k + 0.5) / (k + 0.5)) > 0 then ln((pages - k + 0.5) / (k + 0.5)) else 1e-6 end)"
-            f" * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n_tokens / mean)) as s from {n} join st using (doc_id, page_number), const, (select count(*) as k from {n})")
+            f"select {f}.doc_id, {f}.page_number, -(case when ln((pages - k + 0.5) / (k + 0.5)) > 0 then ln((pages - k + 0.5) / (k + 0.5)) else 1e-6 end)"
+            f" * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n_tokens / mean)) as s from {f} join st using (doc_id, page_number), const, (select count(*) as k from {n})")
     parts += [f"matched as ({match})", "scores as (" + " union all ".join(scores) + ")",
               "hits as (select doc_id, page_number, sum(s) as score from scores semi join matched using (doc_id, page_number) group by all)"]
     return "with " + ",\n ".join(parts) + extra
