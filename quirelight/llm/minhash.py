@@ -188,46 +188,60 @@ def _agrees(least: int):
     return lambda x, y: int((np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).sum()) >= least
 
 
-def _across(rows: DataFrame, least: int) -> DataFrame:
-    """Pairs (a, b) of one bucket but different components whose signatures agree; rows(bucket, n, id, component, signature)."""
+def _across(rows: DataFrame, least: int, reaches) -> DataFrame:
+    """Links (a, b) inside one bucket but across components; rows(bucket, n, id, component, signature, shingles).
+
+    A bucket is dealt out in pairs of blocks. Members of two blocks meet in one task, by signature, and
+    those that agree by their whole sets; what leaves the task are links only. Components that a task has
+    found linked count as one for its later pairs.
+    """
     blocks = F.ceil(F.col("n") / _BLOCK).cast("long")
     own = F.pmod(F.xxhash64("id"), blocks)
     dealt = (
         rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
         .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"),
-                "id", "component", "signature")
+                "id", "component", "signature", "shingles")
     )
     parts = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
-    def pairs(group: list[tuple]) -> Iterator[tuple[int, int]]:
-        same = group[0][1] == group[0][2]
-        one = group if same else [g for g in group if g[3]]
-        two = group if same else [g for g in group if not g[3]]
-        if not one or not two:
-            return
-        ids, of = np.array([g[4] for g in two]), np.array([g[5] for g in two])
-        table = np.frombuffer(b"".join(g[6] for g in two), np.uint8).reshape(len(two), -1)
-        for k, g in enumerate(one):
-            near = ((table == np.frombuffer(g[6], np.uint8)).sum(axis=1) >= least) & (of != g[5])
-            if same:
-                near[:k + 1] = False
-            yield from ((g[4], int(x)) for x in ids[near])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict[int, int] = {}
+        apart: set[tuple[int, int]] = set()
+
+        def root(c: int) -> int:
+            while (up := above.get(c, c)) != c:
+                c = up
+            return c
+
+        def links(group: list[tuple]) -> Iterator[tuple[int, int]]:
+            same = group[0][1] == group[0][2]
+            one, two = [g for g in group if same or g[3]], [g for g in group if same or not g[3]]
+            if not one or not two:
+                return
+            table = np.frombuffer(b"".join(g[6] for g in two), np.uint8).reshape(len(two), -1)
+            for k, g in enumerate(one):
+                for at in np.flatnonzero((table == np.frombuffer(g[6], np.uint8)).sum(axis=1) >= least):
+                    h = two[at]
+                    pair = (min(g[4], h[4]), max(g[4], h[4]))
+                    if same and at <= k or pair in apart or (x := root(g[5])) == (y := root(h[5])):
+                        continue
+                    if reaches(g[7], h[7]):
+                        above[max(x, y)] = min(x, y)
+                        yield pair
+                    elif len(apart) < 500_000:  # a pair met again in a later bucket is compared again only beyond that
+                        apart.add(pair)
+
         group: list[tuple] = []
-        found: set[tuple[int, int]] = set()
         for batch in batches:
+            found: list[tuple[int, int]] = []
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if group and row[:3] != group[0][:3]:
-                    found.update((min(p), max(p)) for p in pairs(group))
+                    found += links(group)
                     group = []
                 group.append(row)
-            if len(found) > 50_000:
+            if found:
                 yield _batch(["a", "b"], *(pa.array(c, pa.int64()) for c in zip(*found)))
-                found = set()
-        if group:
-            found.update((min(p), max(p)) for p in pairs(group))
-        if found:
+        if group and (found := list(links(group))):
             yield _batch(["a", "b"], *(pa.array(c, pa.int64()) for c in zip(*found)))
 
     return parts.mapInArrow(run, "a long, b long").distinct()
@@ -267,12 +281,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     placed = members.filter("n > 2 and id != hub").join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = scratch.save(placed.select("bucket", "id", "component"), "placed")
     mixed_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo != hi")
-    open_ = placed.join(scratch.save(mixed_.select("bucket", "n"), "open"), "bucket").join(signatures, "id")
-    second = _across(open_, agree).join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    second = scratch.save(second, "pairs-2")
-    if second.take(1):
-        links = links.union(verified(second, "2"))
-        joined = scratch.save(components(links, scratch, "component-2"), "components-2")
+    open_ = scratch.save(placed.join(scratch.save(mixed_.select("bucket", "n"), "open"), "bucket"), "open-members")
+    if open_.take(1):
+        with _arrow_rows(spark, 1_000):
+            sets = scratch.save(_sets(docs, scratch.save(open_.select("id").distinct(), "ids-2")), "sets-2")
+        with _arrow_rows(spark, 250):
+            more = scratch.save(_across(open_.join(signatures, "id").join(sets, "id"), agree, reach), "links-2")
+        if more.take(1):
+            joined = scratch.save(components(links.union(more), scratch, "component-2"), "components-2")
 
     named = narrow.join(classes.withColumnRenamed("id", "class"), ["s1", "s2"], "left").join(joined.withColumnRenamed("node", "class"), "class", "left")
     component = F.coalesce("component", "class", "doc_id")
