@@ -39,6 +39,7 @@ RATIO = 2.0
 MISSED, FALSE = 0.03, 100
 GROWTH = 1.4
 BLOCK, QUERIES = 16_384, 4_096
+PROBES = 32  # rows whose distance sets a search's first radius
 
 
 def _phi(x: float) -> float:
@@ -77,10 +78,9 @@ class BlockIndex:
         """(ids, distances) of the k nearest found, nearest first, ties to smaller ids."""
         n, own = len(self.ids), self.ids == query_id
         centre = query @ self.lines
-        at = np.array([np.searchsorted(self.sorted[i], centre[i]) for i in range(self.m)])
-        # the first radius: where windows of the usual line would hold k vectors
-        reach = np.clip(at + k // 2, 0, n - 1)
-        radius = max(float(np.median(np.abs(self.sorted[np.arange(self.m), reach] - centre))) * 2 / self.width, 1e-12)
+        # the first radius: half the distance to the nearest other of a few rows, which is mostly beyond the k-th
+        few = self._distances(np.arange(0, n, max(1, n // PROBES)), query)
+        radius = float(few[few > 0].min()) / 2 if (few > 0).any() else 1e-9
         seen = own.copy()
         rows, far = np.zeros(0, np.int64), np.zeros(0)
         while True:
