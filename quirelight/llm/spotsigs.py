@@ -118,15 +118,16 @@ def with_next(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "spots")
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).cast("long").alias("k"),
-                       F.xxhash64(text, F.col("doc_id").isNull()).alias("h"))
-    places = in_order(scratch.save(rows.select("k", F.length("text").alias("n"), "h").distinct(), "keys"), ["k", "n", "h"], scratch, "placed")
-    numbered = scratch.save(with_row_number(places).select("k", "n", "h", "row_number"), "numbered")
+    keyed = docs.select("doc_id", text.alias("text"), F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).cast("long").alias("k"),
+                        F.xxhash64(text, F.col("doc_id").isNull()).alias("h"))
+    places = in_order(scratch.save(keyed.select("k", F.length("text").alias("n"), "h", "doc_id").distinct(), "keys"), ["k", "n", "h"], scratch, "placed")
+    numbered = scratch.save(with_row_number(places).select("k", "n", "h", "doc_id", "row_number"), "numbered")
     count = max(numbered.count(), 1)
     before = numbered.select(F.col("k").alias("to_k"), F.col("h").alias("to_h"), F.floor(F.col("n") / 4).cast("int").alias("asked"),
                              F.pmod(F.col("row_number") + 1, F.lit(count)).alias("row_number"))
-    order = scratch.save(numbered.join(before, "row_number").select("k", "h", "n", "to_k", "to_h", "asked"), "order")
-    held = rows.join(order, ["k", "h"])
+    order = scratch.save(numbered.join(before, "row_number").select("k", "h", "n", "doc_id", "to_k", "to_h", "asked"), "order")
+    # both uses below read the same columns of the texts, so that they share one exchange
+    held = keyed.select("k", "h", "text").join(order, ["k", "h"])
     own = with_signatures(held.select("k", "h", "doc_id", "text", F.col("n").cast("long").alias("n_chars")), "text", "signatures")
     sent = with_signatures(held.select("to_k", "to_h", "asked", "text"), "text", "next_signatures")
     sent = sent.select(F.col("to_k").alias("k"), F.col("to_h").alias("h"), F.substring(F.col("text"), F.lit(1), F.col("asked")).alias("next_head"), "next_signatures")
