@@ -15,20 +15,36 @@ from .tables import DP, pages, table
 QUERIES, ORACLE_SQL = {}, {}
 
 
-def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to 60 words of every tenth document in two columns of six words a line, ten lines a block."""
-    docs = table(spark, sf_dir, "documents").filter("doc_id % 10 = 0")
-    words = docs.select(F.col("doc_id").alias("page_id"), F.posexplode(F.slice(tx.raw_words(F.col("text")), 1, 60)).alias("word_id", "item"))
+#: Words a page: two columns of six words a line, ten lines a block.
+PAGE_WORDS = 60
+
+
+def _laid_out(words: DataFrame) -> DataFrame:
+    """words(word_id, item, ...) with x, y, w, h: where the word of that number stands on its page."""
     n = F.col("word_id")
     x = (F.floor(n / 3) % 2) * 300 + (n % 3) * 60 + F.floor(n / 30) * 0
-    return words.select("page_id", "word_id", "item", x.cast("double").alias("x"), (F.floor(n / 6) * 14 + F.floor(n / 30) * 20).cast("double").alias("y"),
-                        (F.least(F.length("item"), F.lit(10)) * 5).cast("double").alias("w"), F.lit(10.0).alias("h"), ((F.col("page_id") + n) % 10 / 10).alias("confidence"))
+    return words.withColumns({"x": x.cast("double"), "y": (F.floor(n / 6) * 14 + F.floor(n / 30) * 20).cast("double"),
+                              "w": (F.least(F.length("item"), F.lit(10)) * 5).cast("double"), "h": F.lit(10.0)})
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to 60 words of every tenth document, as the SQL has them."""
+    docs = table(spark, sf_dir, "documents").filter("doc_id % 10 = 0")
+    words = docs.select(F.col("doc_id").alias("page_id"), F.posexplode(F.slice(tx.raw_words(F.col("text")), 1, PAGE_WORDS)).alias("word_id", "item"))
+    return _laid_out(words).withColumn("confidence", (F.col("page_id") + F.col("word_id")) % 10 / 10)
+
+
+def _page_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of all documents, 60 a page; page_id is doc_id:page, and word_id counts on each page from 0."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.raw_words(F.col("text"))).alias("n", "item"))
+    page = F.concat_ws(":", F.col("doc_id").cast("string"), F.floor(F.col("n") / PAGE_WORDS).cast("string"))
+    return _laid_out(words.select(page.alias("page_id"), (F.col("n") % PAGE_WORDS).alias("word_id"), "item"))
 
 
 _BOXES = r"""words as (select doc_id as page_id, unnest(w) as item, generate_subscripts(w, 1) - 1 as word_id from (select doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')[1:60] as w from documents where doc_id % 10 = 0)),
  b as (select page_id, word_id, item, ((word_id // 3) % 2 * 300 + word_id % 3 * 60)::double as x, (word_id // 6 * 14 + word_id // 30 * 20)::double as y, (least(length(item), 10) * 5)::double as w, 10.0::double as h, (page_id + word_id) % 10 / 10 as confidence from words)"""
 
-QUERIES["reading_order"] = lambda s, d: layout.in_reading_order(_boxes(s, d)).select("page_id", "word_id", "place")
+QUERIES["reading_order"] = lambda s, d: layout.in_reading_order(_page_boxes(s, d).drop("item")).select("page_id", "word_id", "place")
 QUERIES["page_lines"] = lambda s, d: layout.into_lines(_boxes(s, d))
 ORACLE_SQL["page_lines"] = f"with {_BOXES} select page_id, dense_rank() over (partition by page_id order by y) - 1 as line, string_agg(item, ' ' order by x) as text from b group by page_id, y"
 QUERIES["confident_chars"] = lambda s, d: layout.confident_chars(_boxes(s, d), ["page_id"])
