@@ -37,3 +37,16 @@ def test_pages_of_reading_order_may_span_batches(spark):
         assert sorted(r.place for r in got if r.page_id == p) == list(range(50))
         want = layout.reading_order([r[1:] for r in rows if r[0] == p], lambda b: b[1:])
         assert [r.n for r in sorted((r for r in got if r.page_id == p), key=lambda r: r.place)] == [b[0] for b in want]
+
+
+def test_learned_rate_folds_every_order(spark):
+    runs = defaultdict(list)
+    for r in spark.read.parquet(f"{SMALL}/orders.parquet").collect():
+        runs[str(r.o_custkey)].append((r.o_orderkey, float(r.o_totalprice) / 1000, r.o_custkey % 50 + 1))
+    want = {}
+    for key, held in runs.items():
+        rate = pages = None
+        for _, new, n in sorted(held):
+            rate, pages = audit.fold_rate(rate, pages, new, n)
+        want[key] = (round(rate, 6), pages)
+    assert {r.key: (round(r.rate, 6), r.pages) for r in QUERIES["learned_rate"](spark, SMALL).collect()} == want
