@@ -17,9 +17,9 @@ r and b follow from the threshold t: the longest bands with (1 - t**r)**b below
 just at the threshold is missed by all bands less often than that. Signatures may differ by 3.6
 standard deviations, which is as rarely exceeded. Otherwise links are exact.
 
-Defined cases: a null or blank text has no shingles and is linked with nothing; rows that share a
-doc_id are one node, linked with whatever one of them is linked with; a null doc_id is named after all
-others and comes out null; no rows give no rows.
+Defined cases: a null or blank text has no shingles and is linked with nothing; a node is a doc_id with
+its text (told by 64 bits), so rows that only share an id, or have none, are not linked by that; a null
+doc_id is named after all others and comes out null; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -102,6 +102,11 @@ def band_keys(least: np.ndarray, percent: int) -> np.ndarray:
     return mixed(mixed(cut + np.uint64(1)) @ _C[:rows] + np.arange(count, dtype=np.uint64))
 
 
+def _node(doc_id: Column, text: Column) -> Column:
+    """The node of a row; rows of one id and one text are one node."""
+    return F.xxhash64(doc_id.cast("long"), text.cast("string"))
+
+
 @contextlib.contextmanager
 def _arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of few rows, for steps whose rows hold whole sets; the steps must be written inside."""
@@ -119,7 +124,7 @@ def _batch(names: list[str], *columns) -> pa.RecordBatch:
 
 
 def described(docs: DataFrame, percent: int) -> DataFrame:
-    """doc_id, n_shingles, s1, s2 (null without shingles), bands, signature of docs(doc_id, text)."""
+    """node, doc_id, n_shingles, s1, s2 (null without shingles), bands, signature of docs(doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,17 +141,18 @@ def described(docs: DataFrame, percent: int) -> DataFrame:
                 signature = (least[:, :SIGNATURE] * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8)
                 none = counts == 0
                 yield _batch(
-                    ["doc_id", "n_shingles", "s1", "s2", "bands", "signature"], batch.column("doc_id").slice(a, b - a), pa.array(counts),
+                    ["node", "doc_id", "n_shingles", "s1", "s2", "bands", "signature"],
+                    batch.column("node").slice(a, b - a), batch.column("doc_id").slice(a, b - a), pa.array(counts),
                     pa.array(sums[:, 0], mask=none), pa.array(sums[:, 1], mask=none),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel())),
                     pa.array([s.tobytes() for s in signature], pa.binary()))
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, signature binary")
+    rows = docs.select(_node(F.col("doc_id"), F.col("text")).alias("node"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "node long, doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, signature binary")
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and whole shingle set (64-bit numbers as bytes) of the documents named in ids(id)."""
+    """id and whole shingle set (64-bit numbers as bytes) of the nodes named in ids(id), a row for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,8 +162,8 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 yield _batch(["id", "shingles"], batch.column("id").slice(a, b - a), pa.array([x.tobytes() for x in sets], pa.large_binary()).cast(pa.binary()))
 
     few = ids.count() <= BROADCAST_IDS
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("id"), F.col("text").cast("string").alias("text"))
-    return rows.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(run, "id long, shingles binary")
+    rows = docs.select(_node(F.col("doc_id"), F.col("text")).alias("id"), F.col("text").cast("string").alias("text"))
+    return rows.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(run, "id long, shingles binary").dropDuplicates(["id"])
 
 
 def _compare(pairs: DataFrame, held: DataFrame, column: str, passes) -> DataFrame:
@@ -247,17 +253,15 @@ def _across(rows: DataFrame, least: int, reaches) -> DataFrame:
     return parts.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable over links) and kept, for each row of docs(doc_id, text).
-
-    Two documents are linked if 100 * (shared shingles) >= percent * (shingles of either).
-    """
+def _named(docs: DataFrame, percent: int) -> DataFrame:
+    """node, doc_id, n_shingles, component (a node; null without shingles), component_id for each row of docs(doc_id, text)."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "minhash")
     all_rows = scratch.save(described(docs, percent), "described")
-    narrow = scratch.save(all_rows.select("doc_id", "n_shingles", "s1", "s2"), "narrow")
-    classes = scratch.save(narrow.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("id")), "classes")
-    standing = all_rows.join(classes.withColumnRenamed("id", "doc_id"), ["s1", "s2", "doc_id"], "left_semi")
-    reps = scratch.save(standing.select(F.col("doc_id").alias("id"), "bands", "signature"), "reps")
+    narrow = scratch.save(all_rows.select("node", "doc_id", "n_shingles", "s1", "s2"), "narrow")
+    classes = scratch.save(narrow.filter("n_shingles > 0").groupBy("s1", "s2").agg(
+        F.min("node").alias("id"), F.min(F.coalesce("doc_id", F.lit(_NULL_ID))).alias("least")), "classes")
+    standing = all_rows.join(classes.withColumnRenamed("id", "node"), ["s1", "s2", "node"], "left_semi").dropDuplicates(["s1", "s2", "node"])
+    reps = scratch.save(standing.select(F.col("node").alias("id"), "bands", "signature"), "reps")
     scratch.drop("described")
 
     keyed = reps.select("id", F.explode("bands").alias("bucket"))
@@ -290,22 +294,32 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         if more.take(1):
             joined = scratch.save(components(links.union(more), scratch, "component-2"), "components-2")
 
-    named = narrow.join(classes.withColumnRenamed("id", "class"), ["s1", "s2"], "left").join(joined.withColumnRenamed("node", "class"), "class", "left")
-    component = F.coalesce("component", "class", "doc_id")
-    given = lambda c: F.nullif(c, F.lit(_NULL_ID))
-    return named.select(
-        given(F.col("doc_id")).alias("doc_id"), "n_shingles", given(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    groups = classes.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = groups.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_class = scratch.save(groups.select("s1", "s2", "component").join(least, "component"), "of-class")
+    component_id = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.nullif("component_id", F.lit(_NULL_ID)))
+    return narrow.join(of_class, ["s1", "s2"], "left").select("node", "doc_id", "n_shingles", "component", component_id.alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id reachable over links) and kept, for each row of docs(doc_id, text).
+
+    Two documents are linked if 100 * (shared shingles) >= percent * (shingles of either). Kept are the rows with
+    the component's id, and all rows of a component without one.
+    """
+    return _named(docs, percent).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """One document of each component, the one with the least doc_id, with all columns of docs(doc_id, text, ...).
+    """One row of each component, one with the least doc_id, with all columns of docs(doc_id, text, ...).
 
-    Rows that share a doc_id are one document, of which the row with the least text stays.
+    Rows of one doc_id (or none) and one text are one document; those that share only the id are several.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))
-    kept = near_duplicates(docs.select("doc_id", "text"), percent).filter("kept").select(key.alias("__key"))
-    nth = F.row_number().over(Window.partitionBy("__key").orderBy("text"))
-    return docs.withColumn("__key", key).join(kept, "__key", "left_semi").withColumn("__nth", nth).filter("__nth = 1").select(*docs.columns)
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("doc_id"), "node"))
+    kept = _named(docs.select("doc_id", "text"), percent).groupBy(F.coalesce("component", "node")).agg(first.alias("first")).select(F.col("first.node").alias("__node"))
+    nth = F.row_number().over(Window.partitionBy("__node").orderBy("text"))
+    rows = docs.withColumn("__node", _node(F.col("doc_id"), F.col("text"))).join(kept, "__node", "left_semi")
+    return rows.withColumn("__nth", nth).filter("__nth = 1").select(*docs.columns)
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
