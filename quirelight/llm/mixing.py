@@ -9,7 +9,8 @@ Schedule: the mix is a row of slots of ``block`` words each. Slot k lies at the
 frac(k * phi), taken in 31-bit integers; the point falls into one source's stretch of the
 cumulative targets. A slot's rank among its source's slots names the block it takes from that
 source: the source's documents, in a shuffled order, stand in one line of words, repeated
-``repeats`` times, cut into blocks of equal words. Any prefix of the mix is near its targets.
+``repeats`` times, cut into blocks of equal words. Then each source's slots are settled to its target,
+the last block cut to the words that remain, so that no source is lost. Any prefix of the mix is near its targets.
 """
 
 from __future__ import annotations
@@ -97,12 +98,30 @@ def schedule(targets: DataFrame, total: float, block: int) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, epochs: float = 1.5, repeats: int = 2, weights: tuple[int, ...] = WEIGHTS) -> tuple[DataFrame, DataFrame]:
+def settled(drawn: DataFrame, goals: DataFrame, slots: int) -> DataFrame:
+    """The schedule with as many slots for each source as goals(rank, words, blocks) says.
+
+    Blocks beyond the goal leave their slots; blocks that were not drawn take those slots in order, then new ones at the end.
+    """
+    met = drawn.join(goals, "rank", "left")
+    counts = drawn.groupBy("rank").agg(F.count("*").alias("drawn"))
+    short = goals.join(counts, "rank", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0))).filter("drawn < blocks")
+    absent = short.select("rank", F.explode(F.sequence(F.col("drawn"), F.col("blocks") - 1)).alias("block_no"))
+    absent = absent.withColumn("nth", F.row_number().over(Window.orderBy("block_no", "rank")))
+    left = met.filter("blocks is null or block_no >= blocks").select(F.col("slot").alias("free"))
+    left = left.withColumn("nth", F.row_number().over(Window.orderBy("free")))
+    added = absent.join(left, "nth", "left").crossJoin(left.agg(F.count("*").alias("n_free"))).select(
+        F.coalesce("free", F.lit(slots) + F.col("nth") - 1 - F.col("n_free")).cast("long").alias("slot"), "rank", "block_no")
+    return met.filter("block_no < blocks").select("slot", "rank", "block_no").unionByName(added)
+
+
+def mix(docs: DataFrame, epochs: float = 1.5, repeats: int = 2, weights: tuple[int, ...] = WEIGHTS, settle: bool = True) -> tuple[DataFrame, DataFrame]:
     """(documents, plan) for docs(doc_id, source, size); any other columns are left out.
 
     documents: a row for each row of docs, with source_size, target and taken, the words the mix
     takes of it over all its repeats (from 0 to repeats * size).
     plan: slot, doc_id, source, from_word, to_word, repeat: what stands in each slot, in word offsets.
+    settle: each source gives its target in whole words (one at least); otherwise the whole blocks it was drawn.
     Null ids and sources are a value like any other, repeated rows are rows of their own, documents
     without words take no part (taken 0), and an empty table gives empty results.
     """
@@ -120,11 +139,16 @@ def mix(docs: DataFrame, epochs: float = 1.5, repeats: int = 2, weights: tuple[i
     line = scratch.save(line, "line")
     copies = line.filter("size > 0").withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     copies = copies.withColumn("begin", F.col("repeat") * F.col("source_size") + F.col("at"))
+    drawn, words = schedule(targets, total, block), F.lit((1 << 63) - 1)
+    if settle:
+        words = F.greatest(F.lit(1), F.round("target")).cast("long")
+        goals = targets.filter("target > 0").select("rank", words.alias("words")).withColumn("blocks", F.ceil(F.col("words") / block).cast("long"))
+        drawn = scratch.save(settled(scratch.save(drawn, "drawn"), goals, -int(-total // block)), "settled")
     pieces = copies.withColumn("block_no", F.explode(F.sequence(
         F.floor(F.col("begin") / block).cast("long"), F.floor((F.col("begin") + F.col("size") - 1) / block).cast("long"))))
     start = F.greatest(F.col("begin"), F.col("block_no") * block) - F.col("begin")
-    end = F.least(F.col("begin") + F.col("size"), (F.col("block_no") + 1) * block) - F.col("begin")
-    plan = scratch.save(pieces.join(schedule(targets, total, block), ["rank", "block_no"]).select(
+    end = F.least(F.col("begin") + F.col("size"), (F.col("block_no") + 1) * block, words) - F.col("begin")
+    plan = scratch.save(pieces.join(drawn, ["rank", "block_no"]).filter(start < end).select(
         "slot", "part", "place", "doc_id", "source", "repeat", start.alias("from_word"), end.alias("to_word")), "plan")
     taken = plan.groupBy("part", "place").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
     documents = line.join(taken, ["part", "place"], "left").select(
@@ -156,5 +180,5 @@ def mixed_documents(docs: DataFrame, epochs: float = 1.5, repeats: int = 2) -> D
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the weights 5, 2, 1: doc_id, size, source_size, target, taken, source."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", words_in(F.col("text")).alias("size"))
-    documents, _ = mix(docs)
+    documents, _ = mix(docs, settle=False)  # the SQL has the blocks as drawn
     return documents.select("doc_id", "size", "source_size", "target", "taken", "source")

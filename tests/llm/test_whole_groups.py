@@ -1,10 +1,12 @@
-"""Documents without an id of their own come through."""
+"""Documents without an id of their own, and sources smaller than a block, come through."""
 
 from __future__ import annotations
 
 from collections import Counter
 
-from quirelight.llm import minhash
+from pyspark.sql import functions as F
+
+from quirelight.llm import minhash, mixing
 
 
 def test_documents_without_an_id_of_their_own_stay(spark):
@@ -15,3 +17,15 @@ def test_documents_without_an_id_of_their_own_stay(spark):
     assert Counter(map(tuple, minhash.without_near_duplicates(docs).collect())) == want
     of = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(docs).collect()}
     assert of == {(None, 5), (None, 900), (None, None), (7, 7), (5, 5), (900, 900), (901, 901)}
+
+
+def test_every_source_gives_its_target(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LEAST_SLOTS", 64)  # blocks of some 480 words
+    rows = [(i, "a", 100) for i in range(200)] + [(1000 + i, f"s{i:02}", 20 + i) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    documents, plan = mixing.mix(docs)
+    by = documents.groupBy("source").agg(F.max("target").alias("target"), F.sum("taken").alias("taken")).collect()
+    assert len(by) == 31 and all(abs(r.taken - r.target) <= 0.5 for r in by)
+    block = mixing.block_words(sum(r.target for r in by))
+    held = plan.groupBy("slot").agg(F.countDistinct("source").alias("n"), F.sum(F.col("to_word") - F.col("from_word")).alias("words")).collect()
+    assert all(r.n == 1 and 0 < r.words <= block for r in held)
