@@ -1,25 +1,28 @@
 """MinHash near-duplicates: banded minima, signature and exact verification, components by stars.
 
 A document's set: distinct shingles of five words, A-Z lowered, words being runs without ASCII white
-space; with fewer words the whole sequence is its one shingle. Shingles are 64-bit hashes.
+space; with fewer words the whole sequence is its one shingle. Shingles are told by 128 bits, two
+independent hashes of their words' bytes.
 
-1. A worker computes each set's 400 minima of a universal family, b band keys of r minima each, and
-   a signature of a byte for each. Equal sets form a class, told by 128 bits; its least document stands for it.
+1. A worker computes each set's 400 minima of a strongly universal family (multiply, add, upper half), b band
+   keys of r minima each, and a signature of a byte for each. Equal sets form a class, told by 128 bits and their
+   size; its least document stands for it.
 2. Classes that share a band key are compared with the least class of that key (its hub): rows grow
    with the number of classes, however large a bucket is. Pairs pass if the signatures agree enough,
    then if the whole sets, made anew from the texts of the documents involved, reach the threshold.
 3. Links give components. A bucket that holds several components may hide links between members other
-   than the hub: those members are compared across components, block by block, by signature inside the
-   worker, and what passes is verified on whole sets like before. Links between members of one
+   than the hub: those members are compared across components, block by block of some 16 MB, by signature
+   inside the worker, and what passes is verified on whole sets like before. Links between members of one
    component could not change the result and are not looked for.
 
-r and b follow from the threshold t: the longest bands with (1 - t**r)**b below 2e-4, so that a pair
-just at the threshold is missed by all bands less often than that. Signatures may differ by 3.6
-standard deviations, which is as rarely exceeded. Otherwise links are exact.
+r and b follow from the threshold t: the longest bands with (1 - t**r)**b below 2e-6, so that a pair
+just at the threshold is missed by all bands less often than that. Signatures may differ by six
+standard deviations, which is exceeded once in a thousand million pairs. Otherwise links are exact.
 
 Defined cases: a null or blank text has no shingles and is linked with nothing; a node is a doc_id with
 its text (told by 64 bits), so rows that only share an id, or have none, are not linked by that; a null
-doc_id is named after all others and comes out null; no rows give no rows.
+doc_id is named after all others and comes out null; a very long text is one lot of its worker, some 60
+bytes of memory for each of its own; ties do not arise, as classes have one least node; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -36,22 +39,23 @@ from pyspark.sql.window import Window
 
 from ..plans.storage import Scratch
 from .components import components
+from .rows import packed, row_hashes
 from .textbytes import lots, mixed, span_hashes, text_bytes, word_spans
 
 SHINGLE = 5
 MINIMA = 400
 SIGNATURE = 400
-MISSED = 2e-4
-DEVIATIONS = 3.6
+MISSED = 2e-6
+DEVIATIONS = 6.0
 #: Ids of at most this many documents (8 bytes each) are broadcast to the scan; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
-_BLOCK = 256  # members of one bucket compared with as many others in a task
-_NULL_ID = (1 << 63) - 1
+_SET = ["n_shingles", "s1", "s2"]
+_BLOCK = 16_000_000  # bytes of sets and signatures of one bucket that meet as many others in a task
 
 _rng = np.random.default_rng(20_240_607)
-_A = _rng.integers(0, 1 << 31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_B = _rng.integers(0, 1 << 32, MINIMA, dtype=np.uint32)
-_C = _rng.integers(0, 1 << 63, max(SHINGLE, MINIMA), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_A = _rng.integers(0, 1 << 64, MINIMA, dtype=np.uint64) | np.uint64(1)
+_B = _rng.integers(0, 1 << 64, MINIMA, dtype=np.uint64)
+_C = _rng.integers(0, 1 << 63, (2, max(SHINGLE, MINIMA)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def bands(percent: int) -> tuple[int, int]:
@@ -68,38 +72,57 @@ def least_agreement(percent: int) -> int:
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
-    """The ascending distinct shingle hashes of each text."""
+    """The distinct shingles of each text, ascending: two rows of 64-bit hashes, one for each lane."""
     low = data + np.uint8(32) * ((data >= 65) & (data <= 90)).astype(np.uint8)
     starts, ends, counts = word_spans(data, offsets)
-    words = span_hashes(low, starts, ends)
-    runs = np.zeros(max(0, len(words) - SHINGLE + 1), np.uint64)
+    words = np.stack([span_hashes(low, starts, ends, lane) for lane in (0, 1)])
+    runs = np.zeros((2, max(0, words.shape[1] - SHINGLE + 1)), np.uint64)
     for i in range(SHINGLE):
-        runs += words[i:i + len(runs)] * _C[i]
+        runs += words[:, i:i + runs.shape[1]] * _C[:, i:i + 1]
     runs = mixed(runs)
     at = 0
     for n in counts.tolist():
         if n >= SHINGLE:
-            yield np.unique(runs[at:at + n - SHINGLE + 1])
+            yield _distinct(runs[:, at:at + n - SHINGLE + 1])
         elif n:
-            yield mixed((words[at:at + n] * _C[:n]).sum(keepdims=True, dtype=np.uint64) + np.uint64(n))
+            yield mixed((words[:, at:at + n] * _C[:, :n]).sum(axis=1, keepdims=True, dtype=np.uint64) + np.uint64(n))
         else:
-            yield np.zeros(0, np.uint64)
+            yield np.zeros((2, 0), np.uint64)
         at += n
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = x[:, np.argsort(x[0], kind="stable")]
+    same = x[0, 1:] == x[0, :-1]
+    if (same & (x[1, 1:] != x[1, :-1])).any():  # two shingles that share one of their hashes
+        x = x[:, np.lexsort((x[1], x[0]))]
+        same = x[0, 1:] == x[0, :-1]
+    return x[:, np.concatenate([[True], ~(same & (x[1, 1:] == x[1, :-1]))])]
+
+
+def shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Number of shingles in both of two sets of ``shingle_sets``."""
+    if (np.diff(a[0]) == 0).any() or (np.diff(b[0]) == 0).any():
+        return len(set(zip(*a.tolist())) & set(zip(*b.tolist())))
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    return int((a[1, i] == b[1, j]).sum())
+
+
 def minima(shingles: np.ndarray) -> np.ndarray:
-    """Least value of each of the functions a * x + b modulo 2**32."""
-    x, least = (shingles >> np.uint64(32)).astype(np.uint32), np.full(MINIMA, 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(x), 1_024):
-        np.minimum(least, (_A[:, None] * x[None, i:i + 1_024] + _B[:, None]).min(axis=1), out=least)
-    return least
+    """Least value of each of the functions (a * x + b modulo 2**64) div 2**32 over the upper halves of the first hashes."""
+    x, least, room = shingles[0] >> np.uint64(32), np.full(MINIMA, (1 << 64) - 1, np.uint64), np.empty((64, MINIMA), np.uint64)
+    for i in range(0, len(x), 64):
+        value = np.multiply(x[i:i + 64, None], _A, out=room[:min(64, len(x) - i)])
+        value += _B
+        np.minimum(least, value.min(axis=0), out=least)
+    return (least >> np.uint64(32)).astype(np.uint32)
 
 
 def band_keys(least: np.ndarray, percent: int) -> np.ndarray:
     """A 64-bit key for each band (a column) of each row of minima."""
     rows, count = bands(percent)
     cut = least[:, :rows * count].reshape(len(least), count, rows).astype(np.uint64)
-    return mixed(mixed(cut + np.uint64(1)) @ _C[:rows] + np.arange(count, dtype=np.uint64))
+    return mixed(mixed(cut + np.uint64(1)) @ _C[0, :rows] + np.arange(count, dtype=np.uint64))
 
 
 def _node(doc_id: Column, text: Column) -> Column:
@@ -133,8 +156,8 @@ def described(docs: DataFrame, percent: int) -> DataFrame:
                 base = offsets[a]
                 counts, sums, least = [], [], []
                 for x in shingle_sets(data[base:offsets[b]], offsets[a:b + 1] - base):
-                    counts.append(len(x))
-                    sums.append((mixed(x).sum(dtype=np.uint64), mixed(x ^ _C[0]).sum(dtype=np.uint64)))
+                    counts.append(x.shape[1])
+                    sums.append(mixed(x).sum(axis=1, dtype=np.uint64))
                     least.append(minima(x))
                 counts, least, sums = np.array(counts, np.int64), np.array(least), np.array(sums, np.uint64).view(np.int64)
                 keys = band_keys(least, percent).view(np.int64)
@@ -152,7 +175,7 @@ def described(docs: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and whole shingle set (64-bit numbers as bytes) of the nodes named in ids(id), a row for each."""
+    """id and whole shingle set (its two rows of 64-bit numbers as bytes) of the nodes named in ids(id), a row for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,11 +204,12 @@ def _compare(pairs: DataFrame, held: DataFrame, column: str, passes) -> DataFram
 
 def _reaches(percent: int):
     def passes(x, y) -> bool:
-        a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        a, b = (np.frombuffer(v, np.uint64).reshape(2, -1) for v in (x, y))
+        n, m = a.shape[1], b.shape[1]
+        if 100 * min(n, m) < percent * max(n, m):
             return False
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        return 100 * both >= percent * (len(a) + len(b) - both)
+        both = shared(a, b)
+        return 100 * both >= percent * (n + m - both)
 
     return passes
 
@@ -195,13 +219,13 @@ def _agrees(least: int):
 
 
 def _across(rows: DataFrame, least: int, reaches) -> DataFrame:
-    """Links (a, b) inside one bucket but across components; rows(bucket, n, id, component, signature, shingles).
+    """Links (a, b) inside one bucket but across components; rows(bucket, bytes, id, component, signature, shingles).
 
-    A bucket is dealt out in pairs of blocks. Members of two blocks meet in one task, by signature, and
+    A bucket is dealt out in pairs of blocks, as many as its sets have times 16 MB. Members of two blocks meet in one task, by signature, and
     those that agree by their whole sets; what leaves the task are links only. Components that a task has
     found linked count as one for its later pairs.
     """
-    blocks = F.ceil(F.col("n") / _BLOCK).cast("long")
+    blocks = F.ceil(F.col("bytes") / _BLOCK).cast("long")
     own = F.pmod(F.xxhash64("id"), blocks)
     dealt = (
         rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
@@ -258,10 +282,10 @@ def _named(docs: DataFrame, percent: int) -> DataFrame:
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "minhash")
     all_rows = scratch.save(described(docs, percent), "described")
     narrow = scratch.save(all_rows.select("node", "doc_id", "n_shingles", "s1", "s2"), "narrow")
-    classes = scratch.save(narrow.filter("n_shingles > 0").groupBy("s1", "s2").agg(
-        F.min("node").alias("id"), F.min(F.coalesce("doc_id", F.lit(_NULL_ID))).alias("least")), "classes")
-    standing = all_rows.join(classes.withColumnRenamed("id", "node"), ["s1", "s2", "node"], "left_semi").dropDuplicates(["s1", "s2", "node"])
-    reps = scratch.save(standing.select(F.col("node").alias("id"), "bands", "signature"), "reps")
+    classes = scratch.save(narrow.filter("n_shingles > 0").groupBy(*_SET).agg(
+        F.min("node").alias("id"), F.min("doc_id").alias("least")), "classes")
+    standing = all_rows.join(classes.withColumnRenamed("id", "node"), [*_SET, "node"], "left_semi").dropDuplicates([*_SET, "node"])
+    reps = scratch.save(standing.select(F.col("node").alias("id"), "bands", "signature", (F.col("n_shingles") * 16 + SIGNATURE).alias("bytes")), "reps")
     scratch.drop("described")
 
     keyed = reps.select("id", F.explode("bands").alias("bucket"))
@@ -284,8 +308,8 @@ def _named(docs: DataFrame, percent: int) -> DataFrame:
     of = joined.withColumnRenamed("node", "id")
     placed = members.filter("n > 2 and id != hub").join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = scratch.save(placed.select("bucket", "id", "component"), "placed")
-    mixed_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo != hi")
-    open_ = scratch.save(placed.join(scratch.save(mixed_.select("bucket", "n"), "open"), "bucket"), "open-members")
+    mixed_ = placed.join(reps.select("id", "bytes"), "id").groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum("bytes").alias("bytes")).filter("lo != hi")
+    open_ = scratch.save(placed.join(scratch.save(mixed_.select("bucket", "bytes"), "open"), "bucket"), "open-members")
     if open_.take(1):
         with _arrow_rows(spark, 1_000):
             sets = scratch.save(_sets(docs, scratch.save(open_.select("id").distinct(), "ids-2")), "sets-2")
@@ -296,9 +320,9 @@ def _named(docs: DataFrame, percent: int) -> DataFrame:
 
     groups = classes.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = groups.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_class = scratch.save(groups.select("s1", "s2", "component").join(least, "component"), "of-class")
-    component_id = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.nullif("component_id", F.lit(_NULL_ID)))
-    return narrow.join(of_class, ["s1", "s2"], "left").select("node", "doc_id", "n_shingles", "component", component_id.alias("component_id"))
+    of_class = scratch.save(groups.select(*_SET, "component").join(least, "component"), "of-class")
+    component_id = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return narrow.join(of_class, _SET, "left").select("node", "doc_id", "n_shingles", "component", component_id.alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -313,13 +337,18 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 def without_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """One row of each component, one with the least doc_id, with all columns of docs(doc_id, text, ...).
 
-    Rows of one doc_id (or none) and one text are one document; those that share only the id are several.
+    Rows of one doc_id (or none) and one text are one document; those that share only the id are several,
+    and rows without a word all stay, as they are linked with nothing. Other columns may have any name.
     """
-    first = F.min(F.struct(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("doc_id"), "node"))
-    kept = _named(docs.select("doc_id", "text"), percent).groupBy(F.coalesce("component", "node")).agg(first.alias("first")).select(F.col("first.node").alias("__node"))
-    nth = F.row_number().over(Window.partitionBy("__node").orderBy("text"))
-    rows = docs.withColumn("__node", _node(F.col("doc_id"), F.col("text"))).join(kept, "__node", "left_semi")
-    return rows.withColumn("__nth", nth).filter("__nth = 1").select(*docs.columns)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
+    named = _named(docs.select("doc_id", "text"), percent).filter("component is not null")
+    kept = named.groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.node").alias("node"))
+    rows = packed(docs).withColumn("node", _node(F.col("row.doc_id"), F.col("row.text")))
+    blank = ~F.coalesce(F.col("row.text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    # of rows with one node one stays: the tasks drop the others before they are shuffled
+    nth = F.row_number().over(Window.partitionBy("node").orderBy(*row_hashes(docs.schema)))
+    told = rows.filter(~blank).join(kept, "node", "left_semi").withColumn("nth", nth).filter("nth = 1")
+    return told.select("row").unionByName(rows.filter(blank).select("row")).select("row.*")
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 1. Tokenise. Workers cut texts into units that the tokenizer treats independently (see ``_units``),
    hash them, and give only units they have not met to the tokenizers library; the ids of the others
-   come from a table. A document's ids get the end id 2 and are cut into pieces of at most 4096.
+   come from a table, which holds their bytes too, so that units with equal hashes keep their own ids. A document's ids get the end id 2 and are cut into pieces of at most 4096.
 2. Count. The histogram of piece lengths has at most 4096 bins, whatever the input's size.
 3. Pack the histogram, longest lengths first: each lot of equal pieces goes on the sequences filled
    least so far (the shortest packs), as many at once as have the same fill; where nothing fits, new
@@ -12,7 +12,8 @@
    the patterns, cut at multiples of 64 ranks, are joined on length and rank div 64.
 
 Nulls and empty texts make one piece (the end id); repeated rows are documents of their own; a null
-doc_id is kept; no documents give no pieces.
+doc_id is kept; pieces of equal length are interchangeable, so ties go by task and row; a very long text is
+one lot of its worker; columns other than doc_id and text are left out; no documents give no pieces.
 """
 
 from __future__ import annotations
@@ -29,12 +30,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.storage import Scratch
-from .textbytes import BLANK, lots, span_hashes, text_bytes
+from .textbytes import BLANK, equal_spans, lots, span_hashes, text_bytes
 
 SEQUENCE = 4_096
 END_ID = 2
 #: Units a worker keeps the ids of; when there are more, it starts its table anew.
 KEPT_UNITS = 1_500_000
+#: Rows of (task, length, earlier pieces), 24 bytes each, that are broadcast at most.
+BROADCAST_COUNTS = 1_300_000
 _BLOCK = 64  # ranks a pattern row covers at most in the join
 
 _KIND = np.full(256, 4, np.uint8)  # 0 white space, 1 letter, 2 digit, 3 other ASCII, 4 beyond ASCII
@@ -61,6 +64,7 @@ class Units:
     def clear(self) -> None:
         self.known, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.begin, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.place, self.size, self.bytes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
     def _joined(self, tokenizer, units: list[str]) -> list[np.ndarray]:
         """Ids of units that are one word to the tokenizer: encoded together, cut behind word ends."""
@@ -89,6 +93,18 @@ class Units:
                 out[i] = ids
         return out
 
+    def _keep(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Encode these spans and put them in the table; their rows in it."""
+        raw = [data[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
+        fresh = self._encode([x.decode("utf-8", "replace") for x in raw])
+        sizes, lengths = np.array([len(x) for x in fresh], np.int32), ends - starts
+        rows = len(self.begin) + np.arange(len(fresh))
+        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(sizes, dtype=np.int64) - sizes])
+        self.count, self.ids = np.concatenate([self.count, sizes]), np.concatenate([self.ids, *fresh])
+        self.place = np.concatenate([self.place, len(self.bytes) + np.cumsum(lengths) - lengths])
+        self.size, self.bytes = np.concatenate([self.size, lengths]), np.concatenate([self.bytes, np.frombuffer(b"".join(raw), np.uint8)])
+        return rows
+
     def look_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all units in a row, ids per unit)."""
         unit, first, back = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
@@ -99,16 +115,19 @@ class Units:
         inside = where < len(self.known)
         new[inside] = self.known[where[inside]] != unit[inside]
         if new.any():
-            raw = data.tobytes()
-            fresh = self._encode([raw[starts[i]:ends[i]].decode("utf-8", "replace") for i in first[new]])
-            sizes = np.array([len(x) for x in fresh], np.int32)
-            begin = len(self.ids) + np.cumsum(sizes, dtype=np.int64) - sizes
-            self.at = np.insert(self.at, where[new], len(self.begin) + np.arange(len(fresh)))
+            rows = self._keep(data, starts[first[new]], ends[first[new]])
+            self.at = np.insert(self.at, where[new], rows)
             self.known = np.insert(self.known, where[new], unit[new])
-            self.begin, self.count = np.concatenate([self.begin, begin]), np.concatenate([self.count, sizes])
-            self.ids = np.concatenate([self.ids, *fresh])
             where = np.searchsorted(self.known, unit)
         at = self.at[where][back.ravel()]
+        # a unit whose bytes are not those of its row in the table only shares its hash, and is encoded by itself
+        lengths = ends - starts
+        odd = lengths != self.size[at]
+        some = np.flatnonzero(~odd)
+        odd[some] = ~equal_spans(data, starts[some], self.bytes, self.place[at[some]], lengths[some])
+        if odd.any():
+            at = at.copy()
+            at[odd] = self._keep(data, starts[odd], ends[odd])
         sizes = self.count[at].astype(np.int64)
         total = np.cumsum(sizes)
         places = np.repeat(self.begin[at] - (total - sizes), sizes) + np.arange(total[-1] if len(total) else 0)
@@ -237,7 +256,9 @@ def pack(pieces: DataFrame, longest: int = SEQUENCE) -> DataFrame:
     patterns = spark.createDataFrame(pack_histogram(histogram, longest), "length long, rank_0 long, number long, sequence_0 long, offset long")
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    ranked = pieces.join(before, ["part", "length"]).withColumn("rank", F.col("nth") + F.col("before")).drop("part", "nth", "before")
+    # a row a task and length: sent to all tasks while it is some 32 MB, and else joined by shuffle, whatever the file sizes say
+    few = counts.count() <= BROADCAST_COUNTS
+    ranked = pieces.join(F.broadcast(before) if few else before.hint("shuffle_hash"), ["part", "length"]).withColumn("rank", F.col("nth") + F.col("before")).drop("part", "nth", "before")
     ranked = ranked.withColumn("block", F.floor(F.col("rank") / _BLOCK))
     last = F.col("rank_0") + F.col("number") - 1
     spread = patterns.withColumn("block", F.explode(F.sequence(F.floor(F.col("rank_0") / _BLOCK), F.floor(last / _BLOCK)))).withColumnRenamed("length", "of_length").withColumnRenamed("block", "of_block")
