@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 
 from ..plans.ordering import in_order, with_running_sum
 from ..plans.storage import Scratch
+from .rows import named, packed, row_hashes
 
 WEIGHTS = (5, 2, 1)
 GOLDEN = 1_327_217_885  # odd, about 2**31 / 1.618
@@ -115,19 +116,21 @@ def settled(drawn: DataFrame, goals: DataFrame, slots: int) -> DataFrame:
     return met.filter("block_no < blocks").select("slot", "rank", "block_no").unionByName(added)
 
 
-def mix(docs: DataFrame, epochs: float = 1.5, repeats: int = 2, weights: tuple[int, ...] = WEIGHTS, settle: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(documents, plan) for docs(doc_id, source, size); any other columns are left out.
+def mix(docs: DataFrame, epochs: float = 1.5, repeats: int = 2, weights: tuple[int, ...] = WEIGHTS) -> tuple[DataFrame, DataFrame]:
+    """(documents, plan) for docs(doc_id, source, size); any other columns are passed on in a struct ``rest``.
 
     documents: a row for each row of docs, with source_size, target and taken, the words the mix
     takes of it over all its repeats (from 0 to repeats * size).
-    plan: slot, doc_id, source, from_word, to_word, repeat: what stands in each slot, in word offsets.
-    settle: each source gives its target in whole words (one at least); otherwise the whole blocks it was drawn.
-    Null ids and sources are a value like any other, repeated rows are rows of their own, documents
-    without words take no part (taken 0), and an empty table gives empty results.
+    plan: slot, doc_id, source, rest, from_word, to_word, repeat: what stands in each slot, in word offsets.
+    Each source gives its target in whole words, one at least. Null ids and sources are a value like any
+    other, a null size is 0, repeated rows are rows of their own and ties among them are interchangeable,
+    documents without words take no part (taken 0), and an empty table gives empty results.
     """
     scratch = Scratch(docs.sparkSession, "mix")
+    others = [c for c in docs.columns if c not in ("doc_id", "source", "size")]
+    rest = F.struct(*map(named, others)) if others else F.lit(None).cast("string")
     narrow = scratch.save(docs.select("doc_id", "source", F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size"),
-                                      shuffled_key(F.col("doc_id")).alias("shuffled")), "sizes")
+                                      shuffled_key(F.col("doc_id")).alias("shuffled"), rest.alias("rest")), "sizes")
     targets = scratch.save(source_targets(
         narrow.groupBy("source").agg(F.sum("size").alias("source_size")), epochs, repeats, weights), "targets")
     total = float(targets.agg(F.sum("target")).first()[0] or 0.0)
@@ -139,46 +142,57 @@ def mix(docs: DataFrame, epochs: float = 1.5, repeats: int = 2, weights: tuple[i
     line = scratch.save(line, "line")
     copies = line.filter("size > 0").withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     copies = copies.withColumn("begin", F.col("repeat") * F.col("source_size") + F.col("at"))
-    drawn, words = schedule(targets, total, block), F.lit((1 << 63) - 1)
-    if settle:
-        words = F.greatest(F.lit(1), F.round("target")).cast("long")
-        goals = targets.filter("target > 0").select("rank", words.alias("words")).withColumn("blocks", F.ceil(F.col("words") / block).cast("long"))
-        drawn = scratch.save(settled(scratch.save(drawn, "drawn"), goals, -int(-total // block)), "settled")
+    words = F.greatest(F.lit(1), F.floor(F.col("target") + 0.5)).cast("long")
+    goals = targets.filter("target > 0").select("rank", words.alias("words")).withColumn("blocks", F.ceil(F.col("words") / block).cast("long"))
+    drawn = scratch.save(settled(scratch.save(schedule(targets, total, block), "drawn"), goals, -int(-total // block)), "settled")
     pieces = copies.withColumn("block_no", F.explode(F.sequence(
         F.floor(F.col("begin") / block).cast("long"), F.floor((F.col("begin") + F.col("size") - 1) / block).cast("long"))))
     start = F.greatest(F.col("begin"), F.col("block_no") * block) - F.col("begin")
     end = F.least(F.col("begin") + F.col("size"), (F.col("block_no") + 1) * block, words) - F.col("begin")
     plan = scratch.save(pieces.join(drawn, ["rank", "block_no"]).filter(start < end).select(
-        "slot", "part", "place", "doc_id", "source", "repeat", start.alias("from_word"), end.alias("to_word")), "plan")
+        "slot", "part", "place", "doc_id", "source", "rest", "repeat", start.alias("from_word"), end.alias("to_word")), "plan")
     taken = plan.groupBy("part", "place").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
     documents = line.join(taken, ["part", "place"], "left").select(
-        "doc_id", "source", "size", "source_size", "target", F.coalesce(F.col("taken"), F.lit(0)).cast("long").alias("taken"))
-    return documents, plan.drop("part", "place")
+        "doc_id", "source", "rest", "size", "source_size", "target", F.coalesce(F.col("taken"), F.lit(0)).cast("long").alias("taken"))
+    return documents, plan
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """A text up to its n-th word, with the white space in it and before it."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), n.cast("int")), "")
 
 
 def mixed_documents(docs: DataFrame, epochs: float = 1.5, repeats: int = 2) -> DataFrame:
-    """The documents a mix consists of, with the columns of docs(doc_id, text, source, ...).
+    """The documents a mix consists of, with the columns of docs(doc_id, text, source, ...), in the order of the schedule.
 
-    A document of which the mix takes n words stands n div size times in full; a rest, which only the
-    documents at the end of a source's line have, stands as a document of its first words joined by
-    blanks. Documents of which nothing is taken go. n_chars, where there is one, is that of the text.
+    Each row is a document, told by all its columns (128 bits); rows equal in all of them are alike, and stand as often
+    as the mix takes them. A copy of which the mix takes all words stands in full; a rest, which only the documents at
+    the end of a source's line have, is cut behind its last word. A copy stands where the slot of its first word does.
+    Documents of which nothing is taken go. n_chars, where there is one, is that of the text. Other columns may have any name.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    taken, _ = mix(docs.select("doc_id", "source", words_in(F.col("text")).alias("size")), epochs, repeats)
-    taken = taken.filter("taken > 0").groupBy(key.alias("__key")).agg(F.max("size").alias("__size"), F.max("taken").alias("__taken"))
-    rest = F.col("__taken") % F.col("__size")
-    copies = F.concat(F.array_repeat(F.col("__size"), F.floor(F.col("__taken") / F.col("__size")).cast("int")),
-                      F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
-    parts = docs.withColumn("__key", key).join(taken, "__key").withColumn("__words", F.explode(copies))
-    some = F.array_join(F.slice(F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+"), F.lit(1), F.col("__words").cast("int")), " ")
-    parts = parts.withColumn("text", F.when(F.col("__words") < F.col("__size"), some).otherwise(F.col("text")))
+    rows = packed(docs)
+    one, two = row_hashes(docs.schema)
+    keyed = rows.select("row", one.alias("k1"), two.alias("k2"))
+    sized = keyed.select(F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), words_in(F.col("row.text")).alias("size"), "k1", "k2")
+    sized = sized.withColumn("whole", F.col("size"))
+    _, plan = mix(sized, epochs, repeats)
+    copies = plan.groupBy("part", "place", "repeat").agg(
+        F.first("rest").alias("rest"), F.min("slot").alias("slot"), F.max("to_word").alias("words"))
+    copies = copies.select("rest.k1", "rest.k2", "rest.whole", "slot", "words")
+    # rows with one key are equal: the tasks keep one of them before they are shuffled
+    nth = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.lit(0)))
+    single = keyed.withColumn("nth", nth).filter("nth = 1").drop("nth")
+    cut = F.when(F.col("words") < F.col("whole"), first_words(F.col("row.text"), F.col("words"))).otherwise(F.col("row.text"))
+    shown = single.join(copies, ["k1", "k2"]).withColumn("text", cut)
+    row = F.col("row").withField("text", F.col("text").cast(docs.schema["text"].dataType))
     if "n_chars" in docs.columns:
-        parts = parts.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return parts.select(*docs.columns)
+        row = row.withField("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    ordered = shown.select("slot", "k1", "k2", "words", row.alias("row")).orderBy("slot", "k1", "k2", F.desc("words"))
+    return ordered.select("row.*")
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the weights 5, 2, 1: doc_id, size, source_size, target, taken, source."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", words_in(F.col("text")).alias("size"))
-    documents, _ = mix(docs, settle=False)  # the SQL has the blocks as drawn
+    documents, _ = mix(docs)
     return documents.select("doc_id", "size", "source_size", "target", "taken", "source")

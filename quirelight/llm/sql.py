@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from .mixing import BLOCK_WORDS, GOLDEN, LEAST_SLOTS, MIX, MODULUS
+from .mixing import MIX, MODULUS
 
+#: A source gives its target in whole words, from the front of its documents in shuffled order, repeated.
 _MIX = f"""
 with docs as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as size,
@@ -22,21 +23,11 @@ levelled as (select *, max(case when cap / weight > here then here end) over ()
 targets as (
   select source, source_size, rank,
          case when level is null or cap / weight <= level then cap::double else level * weight end as target from levelled),
-ends as (select *, sum(target) over (order by rank) as stop, sum(target) over () as total from targets where target > 0),
-stretches as (select *, coalesce(lag(stop) over (order by rank), 0) as begin, max(stop) over () as last from ends),
-sized as (select greatest(1, least({BLOCK_WORDS}, floor(max(total) / {LEAST_SLOTS})))::bigint as block, max(total) as total from ends),
-slots as (
-  select id as slot, (id % {MODULUS} * {GOLDEN}) % {MODULUS} / {float(MODULUS)} as point
-  from (select unnest(range(cast(ceil(total / block) as bigint))) as id from sized)),
-drawn as (
-  select rank, row_number() over (partition by rank order by slot) - 1 as block_no
-  from slots join stretches on point * last >= begin and point * last < stop),
-reach as (select rank, count(*) * max(block) as words from drawn cross join sized group by rank),
 line as (
-  select d.doc_id, d.source, d.size, t.source_size, t.target, coalesce(r.words, 0) as words,
+  select d.doc_id, d.source, d.size, t.source_size, t.target, case when t.target > 0 then greatest(1, cast(floor(t.target + 0.5) as bigint)) else 0 end as words,
          coalesce(sum(d.size) over (partition by d.source order by xor(d.t, d.t >> 16), d.doc_id, d.size
            rows between unbounded preceding and 1 preceding), 0) as pos
-  from docs d join targets t on d.source is not distinct from t.source left join reach r on t.rank = r.rank)
+  from docs d join targets t on d.source is not distinct from t.source)
 select doc_id, size, source_size, target,
        cast(greatest(0, least(size, words - pos)) + greatest(0, least(size, words - source_size - pos)) as bigint) as taken, source
 from line"""
