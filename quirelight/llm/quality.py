@@ -6,9 +6,10 @@ attention weighs it, a = softmax over the bag of w . (tanh(V h) * sigmoid(U h));
 weighted sum of its passages' encodings, and a logistic unit scores that. Only documents have labels:
 the weights of passages are learned from them (Adam, gradients by hand), on a bounded sample.
 
-Defined cases: a null or empty text is one passage without bytes, scored like any other; ties and
-repeated rows get equal scores; without labels of both classes the score is the share of class 1
-among the labels (0.5 without labels); no rows give no rows.
+Defined cases: a null or empty text is one passage without bytes, scored like any other; a text's score
+depends on the text alone, so ties and repeated rows get equal scores; a very long text is one lot of its
+worker; without labels of both classes the score is the share of class 1 among the labels (0.5 without
+labels); columns named like the two that are added give way to them; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -50,7 +51,8 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     count = np.bincount(of, minlength=n).astype(np.float32)
     kinds = np.bincount(of * KINDS + _KIND[data], minlength=n * KINDS).reshape(n, KINDS)
     pair = (data[:-1].astype(np.uint32) * np.uint32(0x9E3779B1) + data[1:].astype(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(24)
-    pairs = np.bincount(of[:-1] * PAIRS + pair, minlength=n * PAIRS).reshape(n, PAIRS) if len(data) else np.zeros((n, PAIRS))
+    inside = text[:-1] == text[1:]
+    pairs = np.bincount((of[:-1] * PAIRS + pair)[inside], minlength=n * PAIRS).reshape(n, PAIRS) if len(data) else np.zeros((n, PAIRS))
     starts, ends, _ = word_spans(data, offsets)
     words, lengths = span_hashes(data, starts, ends), (ends - starts).astype(np.float64)
     at = of[starts] if len(starts) else np.zeros(0, np.int64)
@@ -89,6 +91,19 @@ class AttentionModel:
         z = np.add.reduceat(a[:, None] * h, begins, axis=0)
         return z @ w["c"] + w["d"][0], h, t, s, a, z
 
+    def gradients(self, x: np.ndarray, first: np.ndarray, y: np.ndarray, balance: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean weighed log loss of these bags, by each weight."""
+        w, sizes = self.weights, np.diff(first)
+        logit, h, t, s, a, z = self.forward(x, first)
+        g = (_sigmoid(logit) - y) * balance / len(y)
+        each = np.repeat(g, sizes)
+        along = h @ w["c"]  # each passage's own vote, and below how it differs from its document's
+        de = each * a * (along - np.repeat(z @ w["c"], sizes))
+        dt, ds = de[:, None] * w["w"] * s * (1 - t * t), de[:, None] * w["w"] * t * s * (1 - s)
+        dh = (each * a)[:, None] * w["c"] + dt @ w["V"].T + ds @ w["U"].T
+        du = dh * (1 - h * h)
+        return {"W": x.T @ du, "b": du.sum(0), "V": h.T @ dt, "U": h.T @ ds, "w": (t * s).T @ de, "c": z.T @ g, "d": g.sum(keepdims=True)}
+
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(score of each text, share of attention its strongest passage has)."""
         x, first = passages(data, offsets)
@@ -124,18 +139,8 @@ def fit(sample: list[tuple[str, int]], share: float, seed: int = 7) -> Attention
             rows = np.concatenate([np.arange(first[i], first[i + 1]) for i in bags])
             sizes = np.array([first[i + 1] - first[i] for i in bags])
             cut = np.concatenate([[0], np.cumsum(sizes)])
-            xb = x[rows]
-            logit, h, t, s, a, z = model.forward(xb, cut)
-            g = (_sigmoid(logit) - y[bags]) * balance[bags] / len(bags)
-            each = np.repeat(g, sizes)
-            along = h @ w["c"]  # each passage's own vote, and below how it differs from its document's
-            de = each * a * (along - np.repeat(z @ w["c"], sizes))
-            dt, ds = de[:, None] * w["w"] * s * (1 - t * t), de[:, None] * w["w"] * t * s * (1 - s)
-            dh = (each * a)[:, None] * w["c"] + dt @ w["V"].T + ds @ w["U"].T
-            du = dh * (1 - h * h)
-            grads = {"W": xb.T @ du, "b": du.sum(0), "V": h.T @ dt, "U": h.T @ ds, "w": (t * s).T @ de, "c": z.T @ g, "d": g.sum(keepdims=True)}
             step += 1
-            for name, grad in grads.items():
+            for name, grad in model.gradients(x[rows], cut, y[bags], balance[bags]).items():
                 m, v = moments[name]
                 grad = grad + DECAY * w[name]
                 m += 0.1 * (grad - m)
@@ -152,11 +157,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Atten
 
 def scored(docs: DataFrame, model: AttentionModel, score: str = "score", attention: str = "attention") -> DataFrame:
     """docs with the columns score and attention (share of the strongest passage) added; docs has a text column."""
-    names = docs.columns
+    docs = docs.drop(score, attention)
+    names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch.column("text"))
+            data, offsets = text_bytes(batch.column(at))
             for a, b in lots(offsets):
                 value, most = model.scores(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
                 part = batch.slice(a, b - a)

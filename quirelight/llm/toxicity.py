@@ -4,16 +4,19 @@ Tokens are runs of letters (ASCII, or any byte beyond ASCII), A-Z lowered. The l
 so labelled tokens are made from them: a word, or a beginning of four or five letters, that toxic
 documents hold far more often than clean ones marks the token toxic, in toxic documents only. The
 field has two states and weights for a token's word, its beginnings and endings, and each transition;
-it is fitted to the tagged windows and as many clean ones by gradient ascent on the conditional
-likelihood, gradients from forward-backward, on a bounded sample.
+it is fitted to tagged windows and as many clean ones by gradient ascent on the conditional
+likelihood, gradients from forward-backward, on a bounded sample: documents, windows of a document and
+windows in all have stated bounds, within which they are drawn at random.
 
 A scan finds each token's weight by the hash of its bytes, computes the marginals of whole documents
-by forward-backward in odds form (all documents of a lot at once, a token a step), joins neighbouring
+by forward-backward in odds form (all documents of a lot at once, a token a step; a chain of more than
+``CHAIN`` tokens is cut into blocks that are walked together, linked by their 2x2 products), joins neighbouring
 tokens with a marginal of one half or more to spans, and maps the log odds of the largest marginal to
 a score by a logistic curve fitted on the sample.
 
 Defined cases: a null or empty text, or one without letters, scores like a document whose every
-marginal is 0; ties and repeated rows score alike; without labels of both classes the score is the
+marginal is 0; ties and repeated rows score alike; a very long text is one lot of its worker; columns
+other than doc_id and text are left out; without labels of both classes the score is the
 share of class 1 among the labels (0.5 without labels); no rows give no rows.
 """
 
@@ -38,7 +41,9 @@ SAMPLE = 1_500
 #: which it stands between the same two words count once, or all words of a much copied passage would mark.
 TIMES, EVIDENCE = 15.0, 14.0
 AROUND = 12  # tokens on each side of a tagged one that a window holds
-WINDOWS = 6_000
+#: Windows the field is fitted on at most: in all, of one toxic document, of one clean document; drawn at random.
+WINDOWS, TOXIC_WINDOWS, CLEAN_WINDOWS = 6_000, 40, 4
+CHAIN = 512
 EPOCHS, BATCH, RATE, DECAY = 40, 256, 0.1, 1e-5
 KEPT_WORDS = 1_500_000
 FLOOR = -30.0
@@ -73,38 +78,66 @@ def _words(text: str) -> list[str]:
     return [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts, ends)]
 
 
+def _walk(odds: np.ndarray, begin: np.ndarray, sizes: np.ndarray, move: np.ndarray, enter: np.ndarray) -> np.ndarray:
+    """Messages along runs of tokens, all runs a token a step; enter: the message before each run, nan where a chain begins."""
+    order = np.argsort(-sizes, kind="stable")
+    begin, sizes, state = begin[order], sizes[order], enter[order]
+    out = np.empty(len(odds))
+    for t, n in enumerate(np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1 if len(sizes) else 1), "right")):
+        at, r = begin[:n] + t, state[:n]
+        now = odds[at] * (move[0, 1] + r * move[1, 1]) / (move[0, 0] + r * move[1, 0])
+        state[:n] = out[at] = np.where(np.isnan(r), odds[at], now) if t == 0 else now
+    return out
+
+
+def messages(odds: np.ndarray, first: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Odds of state 1 at each token, given its chain up to and with it. A step is a fraction of linear terms,
+    so a block of tokens is one too (a 2x2 product), and the blocks of a long chain can be walked together."""
+    sizes = np.diff(first)
+    begins, sizes = first[:-1][sizes > 0], sizes[sizes > 0]
+    blocks = -(-sizes // CHAIN)
+    start = np.cumsum(blocks) - blocks
+    chain = np.repeat(np.arange(len(sizes)), blocks)
+    nth = np.arange(len(chain)) - start[chain]
+    begin = begins[chain] + nth * CHAIN
+    length = np.minimum(CHAIN, sizes[chain] - nth * CHAIN)
+    enter = np.full(len(chain), np.nan)
+    inner = np.flatnonzero(nth < blocks[chain] - 1)
+    if len(inner):
+        opens = nth[inner] == 0
+        a, b, c, d = np.ones(len(inner)), np.zeros(len(inner)), np.zeros(len(inner)), np.ones(len(inner))
+        for t in range(CHAIN):
+            o = odds[begin[inner] + t]
+            fresh = opens & (t == 0)
+            p, q = np.where(fresh, 0, o * move[1, 1]), np.where(fresh, o, o * move[0, 1])
+            r, s = np.where(fresh, 0, move[1, 0]), np.where(fresh, 1, move[0, 0])
+            a, b, c, d = p * a + q * c, p * b + q * d, r * a + s * c, r * b + s * d
+            most = np.maximum.reduce([a, b, c, d])
+            a, b, c, d = a / most, b / most, c / most, d / most
+        row = np.full(len(chain), -1)
+        row[inner] = np.arange(len(inner))
+        for k in range(int(blocks.max()) - 1):
+            at = start[blocks > k + 1] + k
+            i, r = row[at], np.nan_to_num(enter[at], nan=1.0)
+            enter[at + 1] = (a[i] * r + b[i]) / (c[i] * r + d[i])
+    return _walk(odds, begin, length, move, enter)
+
+
 def forward_backward(odds: np.ndarray, first: np.ndarray, move: np.ndarray) -> np.ndarray:
     """Marginals of state 1 of many chains. odds: exp(weight of state 1 over 0) of each token.
 
     first: first token of each chain and the number of all. move[i, j]: exp(weight of going from i to j).
-    A chain's forward and backward messages are ratios, so a step is one fraction a chain.
+    The backward messages are the forward ones of the chains read from behind, under the transposed moves.
     """
-    sizes = np.diff(first)
-    order = np.argsort(-sizes, kind="stable")
-    begin, sizes = first[:-1][order], sizes[order]
-    ahead, behind = np.empty(len(odds)), np.empty(len(odds))
-    active = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1 if len(sizes) else 1), "right")
-    state = np.ones(len(sizes))
-    for t, n in enumerate(active):
-        at = begin[:n] + t
-        if t:
-            r = state[:n]
-            state[:n] = odds[at] * (move[0, 1] + r * move[1, 1]) / (move[0, 0] + r * move[1, 0])
-        else:
-            state[:n] = odds[at]
-        ahead[at] = state[:n]
-    last = begin + sizes - 1
-    state = np.ones(len(sizes))
-    for t, n in enumerate(active):
-        at = last[:n] - t
-        if t:
-            r = state[:n] * odds[at + 1]
-            state[:n] = (move[1, 0] + r * move[1, 1]) / (move[0, 0] + r * move[0, 1])
-        behind[at] = state[:n]
-    both = ahead * behind
+    both = messages(odds, first, move) * _behind(odds, first, move)
     return both / (1 + both)
 
 
+def _behind(odds: np.ndarray, first: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Backward messages: odds of what follows each token, without the token's own."""
+    return messages(odds[::-1], len(odds) - first[::-1], move.T)[::-1] / odds
+
+
 @dataclass
 class SpanTagger:
     """Weights of the field and of the logistic curve; ``constant`` stands in where nothing could be learned."""
@@ -195,11 +228,11 @@ def _windows(sample: list[tuple[list[str], int]], marks: set[str], rng: np.rando
             continue
         if kind:
             tags = np.array([any(k in marks for k in keys_of(w)) for w in words], np.int8)
-            for at in np.flatnonzero(tags)[:40]:
+            for at in rng.permutation(np.flatnonzero(tags))[:TOXIC_WINDOWS]:
                 cut = slice(max(0, at - AROUND), at + AROUND + 1)
                 tagged.append((words[cut], tags[cut]))
         else:
-            for _ in range(4):
+            for _ in range(CLEAN_WINDOWS):
                 at = int(rng.integers(len(words)))
                 cut = words[max(0, at - AROUND):at + AROUND + 1]
                 clean.append((cut, np.zeros(len(cut), np.int8)))
@@ -256,16 +289,7 @@ def fit(texts: list[tuple[str, int]], share: float, seed: int = 11) -> SpanTagge
 
 def _pair_marginals(odds: np.ndarray, first: np.ndarray, move: np.ndarray, left: np.ndarray) -> np.ndarray:
     """Expected number of each transition over the tokens ``left`` and their successors."""
-    # forward ratios alone (a chain's message to the right), then backward ones, by the same recursion
-    sizes = np.diff(first)
-    ahead, behind = np.empty(len(odds)), np.ones(len(odds))
-    for t in range(int(sizes.max())):
-        at = first[:-1][sizes > t] + t
-        ahead[at] = odds[at] if t == 0 else odds[at] * (move[0, 1] + ahead[at - 1] * move[1, 1]) / (move[0, 0] + ahead[at - 1] * move[1, 0])
-    for t in range(1, int(sizes.max())):
-        at = first[1:][sizes > t] - 1 - t
-        r = behind[at + 1] * odds[at + 1]
-        behind[at] = (move[1, 0] + r * move[1, 1]) / (move[0, 0] + r * move[0, 1])
+    ahead, behind = messages(odds, first, move), _behind(odds, first, move)
     after = behind[left + 1] * odds[left + 1]
     joint = np.array([[np.full(len(left), move[0, 0]), move[0, 1] * after], [move[1, 0] * ahead[left], move[1, 1] * ahead[left] * after]])
     return (joint / joint.sum((0, 1))).sum(-1)

@@ -58,7 +58,80 @@ def test_passages_do_not_depend_on_their_lot():
     assert first.tolist() == [0, 1, 2, 6, 8, 9]
     for i, t in enumerate(texts):
         alone, _ = quality.passages(*text_bytes(pa.array([t])))
-        assert np.allclose(alone[:, :quality.KINDS], together[first[i]:first[i + 1], :quality.KINDS], atol=1e-6)
+        assert np.allclose(alone, together[first[i]:first[i + 1]], atol=1e-6)
+
+
+def test_attention_and_gradients_against_plain_sums():
+    rng = np.random.default_rng(8)
+    first, x, y, balance = np.array([0, 1, 4, 9]), rng.normal(size=(9, quality.FEATURES)) / 8, np.array([1.0, 0.0, 1.0]), np.array([1.0, 2.0, 0.5])
+    hidden, gate = 5, 3
+    w = {k: rng.normal(size=n) / 2 for k, n in (("W", (quality.FEATURES, hidden)), ("b", hidden), ("V", (hidden, gate)), ("U", (hidden, gate)), ("w", gate), ("c", hidden), ("d", 1))}
+    model = quality.AttentionModel(w, np.zeros(quality.FEATURES), np.ones(quality.FEATURES))
+
+    def logits() -> list[float]:
+        """By the definition, a passage at a time."""
+        out = []
+        for a, b in zip(first[:-1], first[1:]):
+            h = [[np.tanh(sum(x[i, f] * w["W"][f, j] for f in range(quality.FEATURES)) + w["b"][j]) for j in range(hidden)] for i in range(a, b)]
+            e = [sum(w["w"][g] * np.tanh(np.dot(p, w["V"][:, g])) / (1 + np.exp(-np.dot(p, w["U"][:, g]))) for g in range(gate)) for p in h]
+            share = np.exp(e) / np.exp(e).sum()
+            out.append(sum(s * np.dot(p, w["c"]) for s, p in zip(share, h)) + w["d"][0])
+        return out
+
+    assert np.allclose(model.forward(x, first)[0], logits())
+    loss = lambda: float(np.mean(balance * [np.log1p(np.exp(-z if t else z)) for z, t in zip(logits(), y)]))
+    for name, grad in model.gradients(x, first, y, balance).items():
+        for at in [tuple(rng.integers(n) for n in w[name].shape) for _ in range(4)]:
+            w[name][at] += 1e-5
+            up = loss()
+            w[name][at] -= 2e-5
+            assert grad[at] == pytest.approx((up - loss()) / 2e-5, abs=1e-6)
+            w[name][at] += 1e-5
+
+
+def test_queries_of_the_models_on_odd_tables(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and ids, columns of any name; then empty tables."""
+    long = "word " * 60_000 + "é"
+    docs = [(i, f"lora nera {'idiot ' if i % 2 else ''}tiga {i}", "x", 0.5) for i in range(40)] + [(None, None, "x", 1.0), (50, "", None, None), (51, long, "y", 2.0), (3, "lora idiot", "x", 0.5), (3, "lora idiot", "x", 0.5)]
+    schema = "doc_id long, text string, attention string, score double"
+    labels = [(i, i % 2, i % 2) for i in range(40)] + [(None, 1, 1), (5, None, None), (51, 1, 0)]
+    for n in (len(docs), 0):
+        folder = tmp_path / str(n)
+        spark.createDataFrame(docs[:n], schema).write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame(labels if n else [], "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+        for name in ("op3_quality_attention", "op5_toxicity_crf"):
+            got = QUERIES[name](spark, str(folder)).collect()
+            assert len(got) == n and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+            assert len({r.score for r in got if r.doc_id == 3 and n}) <= 2
+            assert not any(r.held_out for r in got if r.doc_id is None)
+    frame = spark.createDataFrame(docs, schema)
+    added = quality.scored(frame, quality.fit([("a b", 1), ("!!", 0)], 0.5))
+    assert added.columns == ["doc_id", "text", "score", "attention"] and added.count() == len(docs)
+
+
+def test_an_id_of_many_rows_gives_one_text_to_learn_from(spark):
+    docs = spark.range(5_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text")).union(
+        spark.createDataFrame([(2, "x"), (3, "y" * 200)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (1, 1)], "doc_id long, toxic int")
+    assert sorted(labelled_texts(docs, labels, "toxic", 5, 4, 10, 100)[0]) == [("t0", 1), ("x", 0)]
+
+
+def test_chains_longer_than_a_block(monkeypatch):
+    rng = np.random.default_rng(6)
+    sizes = [0, 1, 7, 8, 9, 16, 100, 0, 33]
+    first, move = np.concatenate([[0], np.cumsum(sizes)]), np.exp(rng.normal(size=(2, 2)) * 2)
+    odds = np.exp(rng.normal(size=first[-1]) * 3)
+    whole = toxicity.forward_backward(odds, first, move)
+    monkeypatch.setattr(toxicity, "CHAIN", 8)
+    assert np.allclose(toxicity.forward_backward(odds, first, move), whole)
+
+
+def test_windows_are_drawn_from_the_whole_document():
+    words = ["a"] * 2_000
+    for i in range(0, 2_000, 20):
+        words[i] = "mark"
+    windows, tags = toxicity._windows([(words, 1), (["b"] * 500, 0)], {"w:mark"}, np.random.default_rng(1))
+    assert len(windows) == toxicity.TOXIC_WINDOWS + toxicity.CLEAN_WINDOWS and all(t.any() for t in tags[:toxicity.TOXIC_WINDOWS])
 
 
 def test_marginals_against_all_paths():
