@@ -27,7 +27,6 @@ bytes of memory for each of its own; ties do not arise, as classes have one leas
 
 from __future__ import annotations
 
-import contextlib
 import math
 from collections.abc import Iterator
 
@@ -39,7 +38,7 @@ from pyspark.sql.window import Window
 
 from ..plans.storage import Scratch
 from .components import components
-from .rows import packed, row_hashes
+from .rows import arrow_rows, packed, row_hashes
 from .textbytes import lots, mixed, span_hashes, text_bytes, word_spans
 
 SHINGLE = 5
@@ -130,18 +129,6 @@ def _node(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id.cast("long"), text.cast("string"))
 
 
-@contextlib.contextmanager
-def _arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of few rows, for steps whose rows hold whole sets; the steps must be written inside."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before))) if int(before) > 0 else str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def _batch(names: list[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns), names=names)
 
@@ -296,9 +283,9 @@ def _named(docs: DataFrame, percent: int) -> DataFrame:
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"ids-{name}")
-        with _arrow_rows(spark, 1_000):
+        with arrow_rows(spark, 1_000):
             sets = scratch.save(_sets(docs, ids), f"sets-{name}")
-        with _arrow_rows(spark, 250):
+        with arrow_rows(spark, 250):
             links = scratch.save(_compare(pairs, sets, "shingles", reach), f"links-{name}")
         scratch.drop(f"sets-{name}", f"ids-{name}")
         return links
@@ -311,9 +298,9 @@ def _named(docs: DataFrame, percent: int) -> DataFrame:
     mixed_ = placed.join(reps.select("id", "bytes"), "id").groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum("bytes").alias("bytes")).filter("lo != hi")
     open_ = scratch.save(placed.join(scratch.save(mixed_.select("bucket", "bytes"), "open"), "bucket"), "open-members")
     if open_.take(1):
-        with _arrow_rows(spark, 1_000):
+        with arrow_rows(spark, 1_000):
             sets = scratch.save(_sets(docs, scratch.save(open_.select("id").distinct(), "ids-2")), "sets-2")
-        with _arrow_rows(spark, 250):
+        with arrow_rows(spark, 250):
             more = scratch.save(_across(open_.join(signatures, "id").join(sets, "id"), agree, reach), "links-2")
         if more.take(1):
             joined = scratch.save(components(links.union(more), scratch, "component-2"), "components-2")

@@ -1,10 +1,11 @@
-"""Whole rows as values: names that do not clash, and hashes that tell rows apart."""
+"""Whole rows as values: names that do not clash, hashes that tell rows apart, and batches of few rows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import contextlib
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,3 +41,15 @@ def row_hashes(schema: T.StructType, row: str = "row") -> tuple[Column, Column]:
     parts = [F.col(row)[f.name] for f in schema.fields if _hashable(f.dataType)]
     nulls = F.concat(F.lit(""), *(F.when(p.isNull(), "n").otherwise("v") for p in parts))
     return F.xxhash64(nulls, *parts), F.xxhash64(F.lit("second"), *parts, nulls)
+
+
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of few rows, for steps whose rows hold whole sets; the steps must be written inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before))) if int(before) > 0 else str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
