@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labelled import fold_of, labelled_texts
+from .rows import numbered
 from .textbytes import BLANK, lots, span_hashes, text_bytes, word_spans
 
 PASSAGE = 512
@@ -166,10 +167,11 @@ def scored(docs: DataFrame, model: AttentionModel, score: str = "score", attenti
             for a, b in lots(offsets):
                 value, most = model.scores(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(value), pa.array(most)], names=[*names, score, attention])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(value), pa.array(most)], names=schema.names)
 
-    added = [T.StructField(n, T.DoubleType()) for n in (score, attention)]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    rows = numbered(docs)
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(n, T.DoubleType()) for n in ("score", "attention"))])
+    return rows.mapInArrow(run, schema).toDF(*names, score, attention)
 
 
 def op3_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:

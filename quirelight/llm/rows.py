@@ -20,6 +20,11 @@ def packed(df: DataFrame, into: str = "row") -> DataFrame:
     return df.select(F.struct(*map(named, df.columns)).alias(into))
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1, ...: steps over Arrow batches cannot take every name."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def fresh(name: str, taken: Iterable[str]) -> str:
     """``name``, with underscores before it until no column has it (in any case)."""
     low = {c.lower() for c in taken}

@@ -32,15 +32,17 @@ select doc_id, size, source_size, target,
        cast(greatest(0, least(size, words - pos)) + greatest(0, least(size, words - source_size - pos)) as bigint) as taken, source
 from line"""
 
+#: A turn without a conv_id is a conversation of its own.
 _CHAT = """
 with t as (
   select distinct conv_id, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text from conversations),
+k as (select *, case when conv_id is null then row_number() over () end as lone from t),
 c as (
-  select conv_id, count(*) as n,
-         list(role || chr(31) || text order by turn nulls first, role, sha256(text)) as turns,
+  select conv_id, lone, count(*) as n,
+         list(length(role) || ':' || role || chr(31) || text order by turn nulls first, role, sha256(text)) as turns,
          string_agg('<|im_start|>' || replace(role, '<|', '< |') || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10), ''
                     order by turn nulls first, role, sha256(text)) as rendered
-  from t group by conv_id),
+  from k group by conv_id, lone),
 whole as (select turns, min(conv_id) as conv_id, max(n) as n_turns, count(*) as n_copies, min(rendered) as rendered from c group by turns),
 inner_ as (select distinct turns[1:i] as turns from (select turns, unnest(range(1, n)) as i from c))
 select conv_id, n_turns, n_copies, rendered from whole anti join inner_ using (turns)"""

@@ -104,9 +104,9 @@ def test_queries_of_the_models_on_odd_tables(spark, tmp_path):
             assert len(got) == n and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
             assert len({r.score for r in got if r.doc_id == 3 and n}) <= 2
             assert not any(r.held_out for r in got if r.doc_id is None)
-    frame = spark.createDataFrame(docs, schema)
+    frame = spark.createDataFrame(docs, schema).withColumn("a.b", F.lit(1))
     added = quality.scored(frame, quality.fit([("a b", 1), ("!!", 0)], 0.5))
-    assert added.columns == ["doc_id", "text", "score", "attention"] and added.count() == len(docs)
+    assert added.columns == ["doc_id", "text", "a.b", "score", "attention"] and added.count() == len(docs)
 
 
 def test_an_id_of_many_rows_gives_one_text_to_learn_from(spark):

@@ -36,6 +36,20 @@ def test_snapshots_collapse(spark):
     assert chat.format_chats(frame.limit(0)).count() == 0
 
 
+def test_turns_without_a_conversation_stay_apart(spark, duck):
+    rows = [(None, i % 3, "user", f"t{i % 5}") for i in range(20)] + [(None, None, None, None)] * 2 + [(1, 0, "user", "t1"), (1, 1, "user", "x"), (2, 0, "user", "t2")]
+    rows += [(3, i, "user", f"long {i}") for i in range(3_000)] + [(4, i, "user", f"long {i}") for i in range(2_999)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("lone", F.lit(1)).withColumn("n", F.lit(2))
+    got = chat.format_chats(frame)
+    duck.sql("create or replace temp table odd as select * from (values " + ", ".join(
+        "(" + ", ".join("null" if v is None else repr(v) for v in r) + ")" for r in rows) + ") v(conv_id, turn, role, text)")
+    want = duck.sql(ORACLE_SQL["op1_chat_format"].replace("from conversations", "from odd")).df()
+    assert rows_of(got.toPandas()) == rows_of(want)
+    # t1 begins conversation 1, t2 is conversation 2 as well; each other text is one
+    assert sorted((str(r.conv_id), r.n_turns, r.n_copies) for r in got.collect() if r.n_turns < 3) == sorted(
+        [("1", 2, 1), ("2", 1, 4), ("None", 1, 3), ("None", 1, 3), ("None", 1, 3), ("None", 1, 1)])
+
+
 def test_many_snapshots_against_brute_force(spark):
     rng = random.Random(5)
     full = [[(rng.choice(["user", "assistant"]), rng.choice("abc")) for _ in range(rng.randint(1, 6))] for _ in range(30)]
