@@ -13,6 +13,7 @@ from quirelight.llm.minhash import without_near_duplicates
 from quirelight.llm.mixing import mixed_documents
 from quirelight.llm.packing import packed_documents, word_bpe_path
 from quirelight.llm.quality import fit_quality, scored
+from quirelight.llm.rows import fresh
 from quirelight.llm.secrets import redacted_documents
 from quirelight.plans.storage import Scratch
 
@@ -20,7 +21,8 @@ from quirelight.plans.storage import Scratch
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts (score 0.5 or more)."""
     model = fit_quality(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored(docs, model, "__score", "__attention").filter("__score >= 0.5").select(*docs.columns)
+    score, attention = (fresh(c, docs.columns) for c in ("score", "attention"))
+    return scored(docs, model, score, attention).filter(F.col(score) >= 0.5).drop(score, attention)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources mixed to the weights 5, 2, 1: documents stay, go, are repeated or cut as the mix takes them."""
+    """Sources mixed to the weights 5, 2, 1: documents stay, go, are repeated or cut as the mix takes them, in its order."""
     return mixed_documents(docs)
 
 
