@@ -10,7 +10,7 @@ from .packing import op7_packing
 from .quality import op3_quality_attention
 from .secrets import op9_secret_scan
 from .sharding import op8_feistel_shards
-from .spotsigs import op2_spotsigs
+from .spotsigs import op2_spotsigs, spotsigs_near_classes
 from .sql import ORACLE_SQL  # noqa: F401  read through this module
 from .toxicity import op5_toxicity_crf
 
@@ -25,4 +25,5 @@ QUERIES = {
     "op8_feistel_shards": op8_feistel_shards,
     "op9_secret_scan": op9_secret_scan,
     "op10_source_mix": op10_source_mix,
+    "spotsigs_near_classes": spotsigs_near_classes,
 }

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..plans.ordering import in_order, with_row_number
 from ..plans.storage import Scratch
+from .rows import packed
 
 PRIME = 2_147_483_647
 ROUNDS = 8
@@ -89,22 +90,21 @@ def shard_rows(df: DataFrame, order: list[str], shards: int = 16, seed: int = 20
     """``df`` with row_number, position, shard and slot.
 
     df: should be narrow (keys and sizes, not texts); join texts afterwards by key. It may have
-    any other columns, but none called part, place, row_number, position, shard or slot.
+    any other columns; one named like the four that are added gives way to it.
     order: columns that fix the row numbers; nulls come first, rows equal in all of them are
     interchangeable. Repeated rows are rows of their own. An empty table gives an empty result.
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
     scratch = Scratch(df.sparkSession, "shards")
-    placed = in_order(scratch.save(df, "keys"), list(order), scratch, "placed")
+    rows = packed(df).select("row", *(F.col("row")[c].alias(f"order_{i}") for i, c in enumerate(order)))
+    placed = in_order(scratch.save(rows, "keys"), [f"order_{i}" for i in range(len(order))], scratch, "placed")
     n = placed.count()
-    position = permuted(F.col("row_number"), max(n, 1), seed)
-    return (
-        with_row_number(placed)
-        .withColumn("position", position)
-        .withColumns({"shard": (F.col("position") % shards).cast("int"), "slot": F.floor(F.col("position") / shards).cast("long")})
-        .drop("part", "place")
-    )
+    numbered = with_row_number(placed).withColumn("position", permuted(F.col("row_number"), max(n, 1), seed))
+    added = {"row_number", "position", "shard", "slot"}
+    return numbered.select(
+        *(F.col("row")[c].alias(c) for c in df.columns if c not in added), "row_number", "position",
+        (F.col("position") % shards).cast("int").alias("shard"), F.floor(F.col("position") / shards).cast("long").alias("slot"))
 
 
 def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

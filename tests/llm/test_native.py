@@ -132,6 +132,32 @@ def test_near_classes_against_all_pairs(spark):
     assert {(r.class_a, r.class_b) for r in pairs.collect()} == want
 
 
+def test_near_documents_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(spotsigs, "MEETING", 3)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    shared = " ".join(f"the w{i} and" for i in range(60))
+    rows += [(9_000 + i, f"{shared} of x{i} y{i} z{i}") for i in range(40)] + [(9_100, f"{shared} of x1 y1 z1"), (9_200, None), (None, shared)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("signatures", F.lit(1)).withColumn("class_id", F.lit("x"))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in spotsigs.near_documents(frame).collect()}
+    sets = {d: frozenset(signatures(t or "")) for d, t in rows}
+    named: dict = {}
+    for d in sorted((d for d in sets if d is not None)):
+        named.setdefault(sets[d], d)
+    links = Counter()
+    kinds = [k for k in named if k]
+    for i, a in enumerate(kinds):
+        for b in kinds[:i]:
+            if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and jaccard(set(a), set(b)) >= 0.8:
+                links[a] += 1
+                links[b] += 1
+    for d, k in sets.items():
+        if d is None:
+            assert got[d][0] == named.get(k)
+        else:
+            assert got[d] == ((named[k], links[k]) if k else (None, 0)), d
+    assert got[9_000][1] >= 39
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 17, 100, 1000, 4097])
 def test_the_permutation_is_one(spark, n):
     want = [sharding.permute(x, n, 7) for x in range(n)]
@@ -159,6 +185,8 @@ def test_shards_are_even_and_gapless(spark):
 def test_edges_of_shards(spark):
     rows = spark.createDataFrame([(None, 1), (None, 1), (3, 2), (3, 2), (3, None)], "doc_id long, n int")
     got = sharding.shard_rows(rows, ["doc_id", "n"], 2).collect()
+    odd = sharding.shard_rows(rows.select("*", F.lit("x").alias("part"), F.lit(1).alias("place"), F.lit(2).alias("slot"), F.lit(3).alias("a.b")), ["doc_id"], 2)
+    assert odd.columns == ["doc_id", "n", "part", "place", "a.b", "row_number", "position", "shard", "slot"] and sorted(r.position for r in odd.collect()) == list(range(5))
     assert sorted(r.position for r in got) == list(range(5)) and sharding.shard_rows(rows.limit(0), ["doc_id"]).count() == 0
 
 
