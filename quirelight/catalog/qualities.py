@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import quality
-from .tables import DP, library, pages, table
+from .tables import COMMON_SQL, DP, INDEX, common_words, library, pages, read, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -17,20 +17,20 @@ def _listed(words) -> str:
 
 
 _TRIM = "-_\"''*.,;:()[]|/\\"
-METRICS = DP + rf""",
- w as (select doc_id, page_number, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') as words from dp),
+METRICS = INDEX + f", {COMMON_SQL}" + rf""",
+ w as (select doc_id, page_number, regexp_extract_all(text, '[^{tx.BLANK}]+') as words from dp),
  j as (select *, list_filter(list_transform(words, lambda x: trim(x, '{_TRIM}')), lambda x: length(x) >= 2) as judged from w),
  m as (select doc_id, page_number, cast(length(regexp_replace(array_to_string(words, ''), '[^\p{{L}}\p{{Nd}}]', '', 'g')) as bigint) as alphanumeric,
    cast(len(judged) as bigint) as tokens,
    cast(len(list_filter(judged, lambda x: length(regexp_replace(x, '[\p{{L}}\p{{Nd}}:_./+-]', '', 'g')) <= 1
      and (length(regexp_replace(x, '[^\p{{L}}]', '', 'g')) >= 2 or length(regexp_replace(x, '[^\p{{Nd}}]', '', 'g')) >= 2))) as bigint) as plausible,
    cast(len(list_filter(judged, lambda x: regexp_full_match(x, '\p{{L}}+'))) as bigint) as word_like,
-   cast(len(list_filter(judged, lambda x: regexp_full_match(x, '\p{{L}}+') and lower(x) in {_listed(tx.COMMON_WORDS)})) as bigint) as common from j)"""
+   cast(len(list_filter(judged, lambda x: regexp_full_match(x, '\p{{L}}+') and list_contains(common, strip_accents(lower(x))))) as bigint) as common from j, (select list(term) as common from cw))"""
 
 
 def page_text_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of each page."""
-    return quality.page_metrics(pages(spark, sf_dir))
+    return quality.page_metrics(pages(spark, sf_dir), common_words(spark, sf_dir))
 
 
 QUERIES["page_text_metrics"] = page_text_metrics
@@ -102,7 +102,7 @@ def reads_as_written(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["reads_as_written"] = reads_as_written
-ORACLE_SQL["reads_as_written"] = rf"""with {DP}, w as (select doc_id, page_number, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') as words from dp),
+ORACLE_SQL["reads_as_written"] = rf"""with {DP}, w as (select doc_id, page_number, regexp_extract_all(text, '[^{tx.BLANK}]+') as words from dp),
  k as (select *, list_filter(list_transform(words, lambda x: trim(x, '.,:;()"''-')), lambda x: regexp_full_match(x, '\p{{L}}{{2,3}}')) as short from w)
 select doc_id, page_number, len(words) >= 50
  and len(list_filter(words, lambda x: regexp_full_match(x, '\p{{L}}') and x not in ('a', 'A', 'I'))) * 100 <= len(words) * 3
@@ -114,22 +114,22 @@ ORACLE_SQL["page_fingerprint_dedup"] = rf"""with {DP}, f as (select *, left(rege
 select min(struct_pack(doc_id, page_number)).doc_id as doc_id, min(struct_pack(doc_id, page_number)).page_number as page_number, count(*) as copies from f where k <> '' group by k"""
 
 QUERIES["page_kind"] = lambda s, d: pages(s, d).select("doc_id", "page_number", tx.page_kind(F.col("text")).alias("kind"))
-ORACLE_SQL["page_kind"] = rf"""with {DP}, l as (select *, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') as rows from dp)
+ORACLE_SQL["page_kind"] = rf"""with {DP}, l as (select *, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, '{tx.BLANKS}')), lambda x: x <> '') as rows from dp)
 select doc_id, page_number, case when len(rows) = 0 then 'Mixed'
  when len(list_filter(rows, lambda x: len(list_filter(string_split(x, ' '), lambda w: w <> '')) <= 6 and regexp_matches(x, '\d'))) * 10 >= len(rows) * 4 then 'Table' else 'Prose' end as kind from l"""
 
 QUERIES["label_like_pages"] = lambda s, d: table(s, d, "pages").select(
     "page_id", tx.is_labels(F.regexp_replace("html", "<", "\n<")).alias("labels"))
-ORACLE_SQL["label_like_pages"] = """with l as (select page_id, list_sort(list_transform(list_filter(list_transform(string_split(replace(html, '<', chr(10) || '<'), chr(10)), lambda x: trim(x)), lambda x: x <> ''), lambda x: length(x))) as n from pages)
+ORACLE_SQL["label_like_pages"] = f"""with l as (select page_id, list_sort(list_transform(list_filter(list_transform(string_split(replace(html, '<', chr(10) || '<'), chr(10)), lambda x: trim(x, '{tx.BLANKS}')), lambda x: x <> ''), lambda x: length(x))) as n from pages)
 select page_id, len(n) >= 12 and n[len(n) // 2 + 1] <= 16 as labels from l"""
 
-QUERIES["content_hash"] = lambda s, d: table(s, d, "documents").select("doc_id", tx.content_hash(F.encode("text", "UTF-8")).alias("content_hash"))
+QUERIES["content_hash"] = lambda s, d: read(s, d, "documents", "doc_id", "text").select("doc_id", tx.content_hash(F.encode("text", "UTF-8")).alias("content_hash"))
 ORACLE_SQL["content_hash"] = "select doc_id, upper(sha256(text)) as content_hash from documents"
 
 
 def mnemonic_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words in command case over all documents."""
-    found = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9]+"), F.lit(0))).alias("word"))
+    found = read(spark, sf_dir, "documents", "text").select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9]+"), F.lit(0))).alias("word"))
     return found.filter(tx.is_mnemonic(F.col("word"))).groupBy("word").agg(F.count("*").alias("n"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import text as tx
 from ..operators import query as qy
 from ..operators import search
-from .tables import DP, INDEX, LIBRARY, library, pages, search_sql
+from .tables import DP, INDEX, LIBRARY, index, library, pages, search_sql
 
 QUERIES, ORACLE_SQL = {}, {}
 _TOP = 10
@@ -17,7 +17,7 @@ _TOP = 10
 
 def _hits(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
     node, _ = qy.read(query)
-    return search.bm25(search.build_index(pages(spark, sf_dir)), node)
+    return search.bm25(index(spark, sf_dir), node)
 
 
 def _top(hits: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ _PROVENANCE = """prov as (
 
 def search_join_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits beside their file (inner) and the page's provenance (left): page source, confidence and label."""
-    p = pages(spark, sf_dir)
+    p = index(spark, sf_dir).pages
     hits = _hits(spark, sf_dir, '"of the"').join(library(spark, sf_dir), "doc_id").join(_provenance(p), ["doc_id", "page_number"], "left")
     source = search.page_source(F.col("embedded_chars"), F.col("ocr_text"))
     return hits.select("path", "page_number", F.round("score", 6).alias("score"), source.alias("page_source"),
@@ -92,7 +92,7 @@ select path, page_number, round(score, 6) as score, page_source,
 
 
 def _window_hits(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
-    p = pages(spark, sf_dir)
+    p = index(spark, sf_dir).pages
     top = _hits(spark, sf_dir, query).withColumn("score", F.round("score", 9)).orderBy("score", "doc_id", "page_number").limit(search.window_size(10))
     found = top.join(p, ["doc_id", "page_number"]).join(library(spark, sf_dir), "doc_id")
     return found.join(_provenance(p).select("doc_id", "page_number", F.col("ocr_text").alias("recovered"), "embedded_chars"), ["doc_id", "page_number"], "left")
@@ -118,7 +118,7 @@ _RERANK = search_sql({"a": ["idiot"]}, f"{_PAIR}a", extra=f""",
  j as (select doc_id, page_number, score, text, title, path, content_hash, ocr_text, {_SOURCE_SQL.format(o=_count_sql('ocr_text', 'idiot'), f=_count_sql('text', 'idiot'))} as match_source
        from top join dp using (doc_id, page_number) join library using (doc_id) left join prov using (doc_id, page_number)),
  r as (select *, (case when contains(title, 'src1') or contains(split_part(path, '/', 2), 'src1') then 1.5 else 1.0 end)
-   * (case when len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '' and length(trim(x)) <= 13 and contains(lower(x), 'idiot'))) > 0 then 1.4 else 1.0 end)
+   * (case when len(list_filter(string_split(text, chr(10)), lambda x: length(trim(x, '{tx.BLANKS}')) between 1 and 13 and contains(lower(x), 'idiot'))) > 0 then 1.4 else 1.0 end)
    * (case when match_source = 'Ocr' then 1.4 else 1.0 end) as multiplier from j)""")
 QUERIES["search_rerank"] = search_rerank
 ORACLE_SQL["search_rerank"] = _RERANK + "\nselect doc_id, page_number, match_source, round(multiplier, 6) as multiplier, round(score * multiplier, 6) as score from r"
@@ -156,7 +156,7 @@ def label_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["label_pages"] = label_pages
 ORACLE_SQL["label_pages"] = f"""with {DP} select doc_id, page_number from dp
-where len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '' and length(trim(x)) <= 12 and (contains(lower(x), 'this') or contains(lower(x), 'with')))) > 0"""
+where len(list_filter(string_split(text, chr(10)), lambda x: length(trim(x, '{tx.BLANKS}')) between 1 and 12 and (contains(lower(x), 'this') or contains(lower(x), 'with')))) > 0"""
 
 
 def match_source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,26 +176,28 @@ from dp left join prov using (doc_id, page_number)"""
 
 
 def index_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents, pages, terms, and pages without text."""
-    p = pages(spark, sf_dir)
-    counts = p.agg(F.countDistinct("doc_id").alias("documents"), F.count(F.when(F.col("text").rlike(r"\S"), 1)).alias("pages"), F.count(F.when(~F.col("text").rlike(r"\S"), 1)).alias("blank_pages"))
-    return counts.crossJoin(search.postings(p).agg(F.countDistinct("term").alias("terms"), F.count("*").alias("tokens")))  # one row each
+    """Documents, pages, terms, and pages without text, of the index."""
+    held = index(spark, sf_dir)
+    blank = F.col("n_tokens").isNull()
+    counts = held.pages.select("doc_id", "page_number").join(held.stats, search.PAGE, "left").agg(
+        F.countDistinct("doc_id").alias("documents"), F.count(F.when(~blank, 1)).alias("pages"), F.count(F.when(blank, 1)).alias("blank_pages"))
+    return counts.crossJoin(held.terms.agg(F.count("*").alias("terms"), F.sum("n").alias("tokens")))  # one row each
 
 
 QUERIES["index_statistics"] = index_statistics
 ORACLE_SQL["index_statistics"] = f"""with {INDEX} select (select count(distinct doc_id) from dp) as documents, (select count(*) from st) as pages,
- (select count(*) from dp where not regexp_matches(text, '\\S')) as blank_pages, count(distinct term) as terms, count(*) as tokens from tk"""
+ (select count(*) from dp where not regexp_matches(text, '[^{tx.BLANK}]')) as blank_pages, count(distinct term) as terms, count(*) as tokens from tk"""
 
 
 def documents_without_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files none of whose pages says more than ten characters, newest first."""
-    said = pages(spark, sf_dir).filter(F.length(F.regexp_replace("text", r"\s", "")) > 40)
-    return library(spark, sf_dir).join(said, "doc_id", "left_anti").select("doc_id", "path").orderBy(F.desc("doc_id"))
+    """Files none of whose pages has any text in the index, newest first."""
+    said = index(spark, sf_dir).stats.select("doc_id").distinct()
+    return library(spark, sf_dir).select("doc_id", "path").join(said, "doc_id", "left_anti").orderBy(F.desc("doc_id"))
 
 
 QUERIES["documents_without_text"] = documents_without_text
 ORACLE_SQL["documents_without_text"] = f"""with {DP}, {LIBRARY} select doc_id, path from library
-where doc_id not in (select doc_id from dp where length(regexp_replace(text, '\\s', '', 'g')) > 40)"""
+where doc_id not in (select doc_id from dp where length(trim(text, '{tx.BLANKS}')) > 0)"""
 
 
 def read_page_context(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,10 +234,10 @@ from (select source, sum(contains(lower(text), 'worthless')::int) as hits, sum((
 
 def rarest_term(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rarest word of seven letters or more of each page, then the longest, then the first by name."""
-    found = search.postings(pages(spark, sf_dir)).filter(F.length("term") >= 7).select("doc_id", "page_number", "term").distinct()
-    held = found.groupBy("term").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("doc_id", "page_number").orderBy("n", F.desc(F.length("term")), "term"))
-    return found.join(held, "term").withColumn("nth", rank).filter("nth = 1").select("doc_id", "page_number", "term", F.col("n").alias("n_pages"))
+    held = index(spark, sf_dir)
+    found = held.postings.filter(F.length("term") >= 7).select("doc_id", "page_number", "term").distinct()
+    rarest = F.min(F.struct("n_pages", (-F.length("term")).alias("size"), "term")).alias("r")
+    return found.join(held.terms.select("term", "n_pages"), "term").groupBy("doc_id", "page_number").agg(rarest).select("doc_id", "page_number", "r.term", "r.n_pages")
 
 
 QUERIES["rarest_term"] = rarest_term

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import state
-from .tables import DP, library, pages, table
+from .tables import DP, common_words, library, pages, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -171,7 +171,7 @@ from r where not (p % 9 = 0 and p % 13 = 0) and (p % 9 = 0 or p % 13 = 0 or p %
 def dehyphenate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages broken at every fortieth character, hyphenated where that falls inside a word, and rejoined."""
     broken = pages(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"(.{37}\p{Ll})(\p{Ll})", "$1-\n$2"))
-    return state.dehyphenated(broken)
+    return state.dehyphenated(broken, common_words(spark, sf_dir))
 
 
 QUERIES["dehyphenate"] = dehyphenate

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..operators import search
+from ..plans.storage import Scratch
+from ..plans.tables import exists, read, stamp
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,7 +17,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, page_number, text: documents cut into pages of eight lines."""
-    return search.derived_pages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return search.derived_pages(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+_WRITTEN: dict[tuple[str, str], tuple[tuple, str]] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> search.Index:
+    """The index of ``pages``, written once a session for as long as the documents stay as they are."""
+    key, now = (spark.sparkContext.applicationId, sf_dir), stamp(spark, f"{sf_dir}/documents.parquet")
+    known = _WRITTEN.get(key)
+    if known is None or known[0] != now or not exists(spark, f"{known[1]}/totals/_SUCCESS"):
+        folder = Scratch(spark, "index").path("pages-of-eight-lines")
+        # a shard of 64 takes another task for each 64 files of documents
+        search.write_index(pages(spark, sf_dir), folder, min(64, 1 + now[0] // search.SHARDS))
+        _WRITTEN[key] = known = (now, folder)
+    return search.read_index(spark, known[1])
+
+
+#: A word is common if it is one of so many commonest terms of the corpus, made of letters only.
+COMMON = 300
+
+
+def common_words(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The ``COMMON`` commonest terms of letters only, of two letters or more; ties by name."""
+    found = index(spark, sf_dir).terms.filter(F.col("term").rlike(r"^\p{L}{2,}$"))
+    return [r["term"] for r in found.orderBy(F.desc("n"), "term").limit(COMMON).collect()]
 
 
 def library(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +63,7 @@ LIBRARY = """library as (
 INDEX = DP + r""",
  toks as (select doc_id, page_number, text, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') as t from dp),
  tk as (select doc_id, page_number, unnest(t) as term, generate_subscripts(t, 1) - 1 as pos from toks),
- st as (select doc_id, page_number, len(t) as n_tokens from toks where regexp_matches(text, '\S')),
+ st as (select doc_id, page_number, len(t) as n_tokens from toks where regexp_matches(text, '[^""" + tx.BLANK + r"""]')),
  const as (select count(*) as pages, avg(n_tokens) as mean from st)"""
 
 
@@ -60,3 +88,7 @@ def search_sql(phrases: dict[str, list[str]], match: str, scored: list[str] | No
     parts += [f"matched as ({match})", "scores as (" + " union all ".join(scores) + ")",
               "hits as (select doc_id, page_number, sum(s) as score from scores semi join matched using (doc_id, page_number) group by all)"]
     return "with " + ",\n ".join(parts) + extra
+
+
+#: The commonest terms, in SQL; after ``INDEX``.
+COMMON_SQL = rf"cw as (select term from tk where regexp_full_match(term, '\p{{L}}{{2,}}') group by term order by count(*) desc, term limit {COMMON})"

@@ -22,10 +22,10 @@ DEFAULT_POLICY = {c: "Ocr" if c in ("ImageOnly", "PartlyScanned") else "Skip" fo
 COUNTS = ("alphanumeric", "tokens", "plausible", "word_like", "common")
 
 
-def page_metrics(pages: DataFrame, common: Sequence[str] = tx.COMMON_WORDS) -> DataFrame:
-    """doc_id, page_number and the counts of ``functions.text.token_metrics``."""
-    words = pages.select("doc_id", "page_number", tx.raw_words(F.coalesce(F.col("text"), F.lit(""))).alias("words"))
-    return words.select("doc_id", "page_number", *(c.alias(n) for n, c in tx.token_metrics(F.col("words"), common).items()))
+def page_metrics(pages: DataFrame, common: Sequence[str]) -> DataFrame:
+    """doc_id, page_number and the counts of ``functions.text.token_metrics``; common: the words that count as such."""
+    rows = pages.select("doc_id", "page_number", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return rows.select("doc_id", "page_number", *(c.alias(n) for n, c in tx.token_metrics(F.col("text"), common).items()))
 
 
 def _share(part: str, whole: str) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -138,12 +139,12 @@ def structural_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.withColumn("difference", what).filter("difference is not null").select("page", "image_no", "difference")
 
 
-def dehyphenated(pages: DataFrame, common: list[str] = tx.COMMON_WORDS, text: str = "text") -> DataFrame:
+def dehyphenated(pages: DataFrame, common: Sequence[str], text: str = "text") -> DataFrame:
     """pages with words rejoined that a line's end broke, and alternates, the readings not chosen.
 
     A line that ends in a letter and one hyphen goes on in the next if that begins, after blanks, with a
     letter that is no capital. Before the hyphen a common word keeps it; a fragment loses it. What is
-    left of the next line stands behind a blank and may itself be broken.
+    left of the next line stands behind a blank and may itself be broken. common: the common words.
     """
     from collections.abc import Iterator
 

@@ -14,7 +14,7 @@ from quirelight.operators import audit, evaluate, layout, quality, state
 from quirelight.sources import files
 from quirelight.streaming import windows
 
-WORDS = {w.lower() for w in [*tx.COMMON_WORDS, "frequency"]}
+WORDS = {"the", "of", "is", "by", "frequency", "output", "order", "end"}
 
 
 @pytest.mark.parametrize("text, shown, other", [
