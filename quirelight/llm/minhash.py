@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.storage import Scratch
+from ..plans.tables import read
 from .components import components
 from .rows import arrow_rows, packed, row_hashes
 from .textbytes import lots, mixed, span_hashes, text_bytes, word_spans
@@ -340,4 +341,4 @@ def without_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents at a similarity of 0.85."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), 85)
+    return near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"), 85)

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.storage import Scratch
+from ..plans.tables import read
 from .textbytes import BLANK, equal_spans, lots, span_hashes, text_bytes
 
 SEQUENCE = 4_096
@@ -285,4 +286,4 @@ def word_bpe_path() -> str:
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 4096 tokens."""
-    return packed_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), word_bpe_path())
+    return packed_documents(read(spark, sf_dir, "documents", "doc_id", "text"), word_bpe_path())

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.tables import read
 from .labelled import fold_of, labelled_texts
 from .rows import numbered
 from .textbytes import BLANK, lots, span_hashes, text_bytes, word_spans
@@ -176,7 +177,7 @@ def scored(docs: DataFrame, model: AttentionModel, score: str = "score", attenti
 
 def op3_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored(docs, model).select(
         "doc_id", F.coalesce(fold_of(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score",

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.tables import read
 from .rows import numbered
 
 #: The base patterns.
@@ -238,7 +239,7 @@ def spans_text(spans: Column) -> Column:
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in all documents."""
-    found = find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = find_secrets(read(spark, sf_dir, "documents", "doc_id", "text"))
     base = F.filter("spans", lambda s: s["kind"] != "guess")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(

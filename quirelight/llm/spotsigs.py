@@ -28,6 +28,7 @@ from pyspark.sql.window import Window
 
 from ..plans.ordering import in_order, with_row_number
 from ..plans.storage import Scratch
+from ..plans.tables import read
 
 #: Common words of English, German, French and Spanish.
 ANCHORS = (
@@ -138,7 +139,7 @@ def near_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def spotsigs_near_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of equal fingerprints over all documents, and how many other classes each is near to."""
-    return near_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_documents(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -176,7 +177,7 @@ def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     fingerprint: the signatures, ascending, as decimal numbers joined by commas.
     """
-    docs = with_next(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    docs = with_next(read(spark, sf_dir, "documents", "doc_id", "text"))
     kept = F.col("n_chars") - F.floor(F.col("n_chars") / 4)
     docs = docs.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), kept.cast("int")), F.col("next_head"))).drop("text", "next_head")
     docs = docs.withColumn("edited_sha256", F.sha2("edited", 256))

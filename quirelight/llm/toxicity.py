@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.tables import read
 from .labelled import fold_of, labelled_texts
 from .textbytes import lots, span_hashes, text_bytes
 
@@ -334,7 +335,7 @@ def tagged(docs: DataFrame, model: SpanTagger) -> DataFrame:
 
 def op5_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores and offending offsets of all documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     offsets = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return tagged(docs, model).select(
