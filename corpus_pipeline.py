@@ -16,6 +16,7 @@ from quirelight.llm.quality import fit_quality, scored
 from quirelight.llm.rows import fresh
 from quirelight.llm.secrets import redacted_documents
 from quirelight.plans.storage import Scratch
+from quirelight.plans.tables import read
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +62,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
     scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = scratch.save(stage(spark, docs, sf_dir), f"stage-{i}")
     return docs
