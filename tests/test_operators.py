@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirelight.functions import text as tx
-from quirelight.operators import audit, evaluate, layout, quality, state
+from quirelight.operators import audit, evaluate, layout, quality, raster, state
 from quirelight.sources import files
 from quirelight.streaming import windows
 
@@ -108,9 +108,9 @@ def test_blobs():
     ink = np.zeros((8, 12), bool)
     ink[1, 1] = ink[2, 2] = ink[3, 1] = True
     ink[5:8, 6:10] = True
-    assert layout.components(ink) == [(1, 1, 2, 3, 3), (6, 5, 4, 3, 12)]
-    assert layout.components(np.zeros((0, 0), bool)) == []
-    assert layout.glyph_like([(0, 0, 4, 5, 20), (0, 0, 400, 2, 800)], 1.0) == [(0, 0, 4, 5, 20)]
+    assert raster.components(ink) == [(1, 1, 2, 3, 3), (6, 5, 4, 3, 12)]
+    assert raster.components(np.zeros((0, 0), bool)) == []
+    assert raster.glyph_like([(0, 0, 4, 5, 20), (0, 0, 400, 2, 800)], 1.0) == [(0, 0, 4, 5, 20)]
 
 
 def test_outstanding_follows_what_is_flagged_now(spark):
