@@ -1,4 +1,4 @@
-"""Queries on layout, streams and files, and their SQL. Boxes are made of documents' first words by arithmetic."""
+"""Queries on layout, streams and files, and their SQL. Boxes are made of all words of all documents by arithmetic, 60 a page."""
 
 from __future__ import annotations
 
@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import layout
+from ..operators import layout, raster
 from ..sources import files
 from ..streaming import windows
 from .audits import _DOCS, _documents, _findings
-from .tables import DP, pages, table
+from .tables import DP, pages, read, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -28,23 +28,18 @@ def _laid_out(words: DataFrame) -> DataFrame:
 
 
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to 60 words of every tenth document, as the SQL has them."""
-    docs = table(spark, sf_dir, "documents").filter("doc_id % 10 = 0")
-    words = docs.select(F.col("doc_id").alias("page_id"), F.posexplode(F.slice(tx.raw_words(F.col("text")), 1, PAGE_WORDS)).alias("word_id", "item"))
-    return _laid_out(words).withColumn("confidence", (F.col("page_id") + F.col("word_id")) % 10 / 10)
-
-
-def _page_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All words of all documents, 60 a page; page_id is doc_id:page, and word_id counts on each page from 0."""
-    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.raw_words(F.col("text"))).alias("n", "item"))
+    words = read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.posexplode(tx.raw_words(F.col("text"))).alias("n", "item"))
     page = F.concat_ws(":", F.col("doc_id").cast("string"), F.floor(F.col("n") / PAGE_WORDS).cast("string"))
-    return _laid_out(words.select(page.alias("page_id"), (F.col("n") % PAGE_WORDS).alias("word_id"), "item"))
+    laid = _laid_out(words.select("doc_id", page.alias("page_id"), (F.col("n") % PAGE_WORDS).alias("word_id"), "item"))
+    return laid.withColumn("confidence", (F.col("doc_id") + F.col("word_id")) % 10 / 10).drop("doc_id")
 
 
-_BOXES = r"""words as (select doc_id as page_id, unnest(w) as item, generate_subscripts(w, 1) - 1 as word_id from (select doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')[1:60] as w from documents where doc_id % 10 = 0)),
- b as (select page_id, word_id, item, ((word_id // 3) % 2 * 300 + word_id % 3 * 60)::double as x, (word_id // 6 * 14 + word_id // 30 * 20)::double as y, (least(length(item), 10) * 5)::double as w, 10.0::double as h, (page_id + word_id) % 10 / 10 as confidence from words)"""
+_BOXES = rf"""words as (select doc_id, unnest(w) as item, generate_subscripts(w, 1) - 1 as n from (select doc_id, regexp_extract_all(text, '[^{tx.BLANK}]+') as w from documents)),
+ paged as (select doc_id, doc_id || ':' || n // {PAGE_WORDS} as page_id, n % {PAGE_WORDS} as word_id, item from words),
+ b as (select page_id, word_id, item, ((word_id // 3) % 2 * 300 + word_id % 3 * 60)::double as x, (word_id // 6 * 14 + word_id // 30 * 20)::double as y, (least(length(item), 10) * 5)::double as w, 10.0::double as h, (doc_id + word_id) % 10 / 10 as confidence from paged)"""
 
-QUERIES["reading_order"] = lambda s, d: layout.in_reading_order(_page_boxes(s, d).drop("item")).select("page_id", "word_id", "place")
+QUERIES["reading_order"] = lambda s, d: layout.in_reading_order(_boxes(s, d).drop("item", "confidence")).select("page_id", "word_id", "place")
 QUERIES["page_lines"] = lambda s, d: layout.into_lines(_boxes(s, d))
 ORACLE_SQL["page_lines"] = f"with {_BOXES} select page_id, dense_rank() over (partition by page_id order by y) - 1 as line, string_agg(item, ' ' order by x) as text from b group by page_id, y"
 QUERIES["confident_chars"] = lambda s, d: layout.confident_chars(_boxes(s, d), ["page_id"])
@@ -94,18 +89,134 @@ ORACLE_SQL["gap_sessions"] = """with e as (select user_id, epoch_us(ts) / 1e6 as
 
 
 def letters_to_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Letters of every 20th document's first 200 characters, six points apart, with a step of nine before every ninth."""
-    docs = table(spark, sf_dir, "documents").filter("doc_id % 20 = 0")
-    letters = docs.select(F.col("doc_id").alias("line_id"), F.posexplode(F.split(F.substring("text", 1, 200), "")).alias("n", "letter")).filter("letter <> ''")
-    return layout.letters_to_words(letters.select("line_id", "n", "letter", (F.col("n") * 6 + F.floor(F.col("n") / 9) * 9).cast("double").alias("x"), F.lit(6.0).alias("w"), F.lit(0.0).alias("y"), F.lit(10.0).alias("size"))).select("line_id", "text", "x")
+    """All letters of all documents, by line: six points apart, with a step of nine before every ninth; every seventh word of a line turns upwards."""
+    rows = read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.posexplode(tx.lines(F.col("text"))).alias("line", "row"))
+    line_id = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("line").cast("string"))
+    letters = rows.select(line_id.alias("line_id"), F.posexplode(F.split("row", "")).alias("n", "letter")).filter("letter <> ''")
+    up = F.floor(F.col("n") / 40) % 2 == 1
+    placed = letters.select("line_id", "n", "letter", (F.col("n") * 6 + F.floor(F.col("n") / 9) * 9).cast("double").alias("x"), F.lit(6.0).alias("w"), F.lit(0.0).alias("y"), F.lit(10.0).alias("size"),
+                            F.when(up, 0.0).otherwise(1.0).alias("dx"), F.when(up, 1.0).otherwise(0.0).alias("dy"))
+    return layout.letters_to_words(placed).select("line_id", "text", "x")
 
 
 QUERIES["letters_to_words"] = letters_to_words
-ORACLE_SQL["letters_to_words"] = r"""with l as (select doc_id as line_id, unnest(range(0, length(left(text, 200)))) as n, left(text, 200) as t from documents where doc_id % 20 = 0),
- c as (select line_id, n, t[n + 1] as letter, n * 6 + n // 9 * 9 as x from l),
- m as (select *, coalesce(letter in (' ', chr(10)) or x - lag(x + 6) over (partition by line_id order by n) > 1.5 or lag(letter) over (partition by line_id order by n) in (' ', chr(10)), false) as new from c),
+_LETTER_BLANK = "regexp_full_match({0}, '[\\t\\n\\x0B\\f\\r ]')"
+ORACLE_SQL["letters_to_words"] = rf"""with r as (select doc_id, unnest(string_split(text, chr(10))) as row, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from documents),
+ l as (select doc_id || ':' || line as line_id, row, unnest(range(0, length(row))) as n from r),
+ c as (select line_id, n, substr(row, n + 1, 1) as letter, n * 6 + n // 9 * 9 as x, n // 40 % 2 = 1 as up from l),
+ p as (select *, lag(letter) over w as before, lag(x) over w as px, lag(up) over w as pup from c window w as (partition by line_id order by n)),
+ m as (select *, coalesce({_LETTER_BLANK.format('letter')} or up <> pup or (not pup and x - px - 6 > 1.5) or (pup and x - px > 3) or (pup and -6 < -5) or {_LETTER_BLANK.format('before')}, false) as new from p),
  s as (select *, sum(new::int) over (partition by line_id order by n) as word from m)
-select line_id, string_agg(letter, '' order by n) as text, min(x)::double as x from s where letter not in (' ', chr(10)) group by line_id, word"""
+select line_id, string_agg(letter, '' order by n) as text, min(x)::double as x from s where not {_LETTER_BLANK.format('letter')} group by line_id, word"""
+
+
+def page_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page read as it stands and turned: the turned reading loses every fourth word and is surer of the others on every second page."""
+    words = _boxes(spark, sf_dir).select("page_id", "word_id", "item", "confidence")
+    sure = F.when(F.length("page_id") % 2 == 0, F.lit(0.9)).otherwise(F.col("confidence"))
+    turned = words.filter("word_id % 4 <> 0").withColumn("confidence", sure).withColumn("reading", F.lit("turned"))
+    return layout.orientation(words.withColumn("reading", F.lit("upright")).unionByName(turned))
+
+
+QUERIES["page_orientation"] = page_orientation
+ORACLE_SQL["page_orientation"] = rf"""with {_BOXES}, n as (select page_id, word_id, length(regexp_replace(item, '[^\p{{L}}\p{{Nd}}]', '', 'g')) as n, confidence from b),
+ o as (select page_id, sum(case when confidence >= 0.8 then n else 0 end) as upright,
+   sum(case when word_id % 4 <> 0 and (length(page_id) % 2 = 0 or confidence >= 0.8) then n else 0 end) as turned from n group by page_id)
+select *, case when turned > upright then 'turned' else 'upright' end as chosen from o"""
+
+
+def word_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first words of each page against the letters it shows, of which every 50th is read as another and those behind the 150th are missing."""
+    words = _boxes(spark, sf_dir).select("page_id", F.col("word_id").alias("word_no"), "item", (F.col("confidence") >= 0.3).alias("usable"))
+    shown = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_no", "item"))), lambda x: x["item"]), "")
+    texts = words.filter("usable").groupBy("page_id").agg(shown.alias("shown"))
+    letters = texts.select("page_id", F.posexplode(F.split("shown", "")).alias("n", "letter")).filter("letter <> '' and n < 150")
+    letters = letters.withColumn("letter", F.when(F.col("n") % 50 == 49, F.lit("?")).otherwise(F.col("letter")))
+    return layout.aligned(words, letters)
+
+
+QUERIES["word_alignment"] = word_alignment
+ORACLE_SQL["word_alignment"] = f"""with {_BOXES}, u as (select page_id, word_id as word_no, item as expected, length(item) as size from b where confidence >= 0.3),
+ q as (select *, coalesce(sum(size) over (partition by page_id order by word_no rows between unbounded preceding and 1 preceding), 0) as begin from u),
+ r as (select *, substr(expected, 1, greatest(0, least(size, 150 - begin))::bigint) as part from q where begin < 150),
+ g as (select page_id, word_no, expected, array_to_string(list_transform(range(0, length(part)), lambda i: case when (begin + i) % 50 = 49 then '?' else substr(part, i + 1, 1) end), '') as got from r)
+select page_id, word_no, expected, got, got = expected as matches from g"""
+
+
+def page_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corners of all words in page points, the page drawn at a quarter turn that its words' number gives."""
+    rotation = F.col("word_id") % 4 * 90
+    x, y = layout.to_points(F.col("x"), F.col("y"), rotation, F.lit(0.5), F.lit(300.0), F.lit(400.0))
+    return _boxes(spark, sf_dir).select("page_id", "word_id", x.alias("px"), y.alias("py"))
+
+
+QUERIES["page_transforms"] = page_transforms
+ORACLE_SQL["page_transforms"] = f"""with {_BOXES} select page_id, word_id,
+ case word_id % 4 when 1 then y * 0.5 when 2 then 300 - x * 0.5 when 3 then 300 - y * 0.5 else x * 0.5 end as px,
+ case word_id % 4 when 1 then x * 0.5 when 2 then y * 0.5 when 3 then 400 - x * 0.5 else 400 - y * 0.5 end as py from b"""
+
+
+def _ink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words as ink: a run for each, six pixels a place, up to seven long, so that long words touch; a line of a page is a row."""
+    rows = pages(spark, sf_dir).select(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("page_number").cast("string")).alias("page_id"), F.posexplode(tx.lines(F.col("text"))).alias("y", "row"))
+    words = rows.select("page_id", "y", F.posexplode(tx.raw_words(F.col("row"))).alias("k", "word"))
+    return words.select("page_id", F.lit("ink").alias("kind"), (F.col("k") * 6.0).alias("x"), F.col("y").cast("double").alias("y"), F.least(F.length("word"), F.lit(7)).cast("double").alias("w"), F.lit(1.0).alias("h"))
+
+
+QUERIES["ink_blobs"] = lambda s, d: raster.blobs(_ink(s, d))
+#: Pixels are conserved, and a blob is no larger than its box; the blobs themselves are held against a flood fill in a test.
+QUERIES["ink_pixels"] = lambda s, d: QUERIES["ink_blobs"](s, d).groupBy("page_id").agg(F.sum("pixels").alias("pixels"), F.sum((F.col("pixels") > F.col("w") * F.col("h")).cast("int")).alias("over"))
+ORACLE_SQL["ink_pixels"] = rf"""with {DP}, r as (select doc_id || ':' || page_number as page_id, unnest(string_split(text, chr(10))) as row, generate_subscripts(string_split(text, chr(10)), 1) as y from dp),
+ w as (select page_id, y, unnest(ws) as word, generate_subscripts(ws, 1) - 1 as k from (select page_id, y, regexp_extract_all(row, '[^{tx.BLANK}]+') as ws from r)),
+ n as (select page_id, y, k, least(length(word), 7) as n, lead(k) over (partition by page_id, y order by k) as next from w)
+select page_id, sum(case when next is null then n else least(n, 6) end) as pixels, 0 as over from n group by page_id"""
+
+
+def reversed_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Solid blocks of 40 by 20 pixels, one for each order, with a blank letter in each; a quarter of the letters lie under text."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("page_id"), (F.col("o_custkey") % 20).alias("at"), (F.col("o_custkey") % 4 == 0).alias("told"))
+    rows = orders.withColumn("y", F.explode(F.sequence(F.lit(10), F.lit(29))))
+    hole = F.col("y").between(15, 24)
+    left = F.col("at") + 12.0
+    parts = F.when(hole, F.array(F.struct(F.lit(10.0).alias("x"), (left - 10).alias("w")), F.struct((left + 5).alias("x"), (F.lit(45.0) - left).alias("w")))).otherwise(F.array(F.struct(F.lit(10.0).alias("x"), F.lit(40.0).alias("w"))))
+    ink = rows.select("page_id", F.lit("ink").alias("kind"), "y", F.explode(parts).alias("p")).select("page_id", "kind", "p.x", F.col("y").cast("double").alias("y"), "p.w", F.lit(1.0).alias("h"))
+    frame = orders.select("page_id", F.lit("ink").alias("kind"), F.lit(99.0).alias("x"), F.lit(99.0).alias("y"), F.lit(1.0).alias("w"), F.lit(1.0).alias("h"))
+    text = orders.filter("told").select("page_id", F.lit("text").alias("kind"), left.alias("x"), F.lit(15.0).alias("y"), F.lit(5.0).alias("w"), F.lit(10.0).alias("h"))
+    return raster.reversed_letters(ink.unionByName(frame).unionByName(text), 0.5)
+
+
+QUERIES["reversed_letters"] = reversed_letters
+ORACLE_SQL["reversed_letters"] = """select cast(o_orderkey as varchar) as page_id, o_custkey % 20 + 12.0::double as x, 15.0::double as y, 5.0::double as w, 10.0::double as h, 50 as pixels from orders where o_custkey % 4 <> 0"""
+
+
+def orphan_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as pages, their lines as rows of a table: two words and a digit between them, which every fifth part lacks. A column needs three."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("page_id"), (F.col("l_linenumber") * 40.0).alias("y"), (F.col("l_partkey") % 5 != 0).alias("there")).distinct()
+    box = lambda d, kind, x, y, w, h: d.select("page_id", F.lit(kind).alias("kind"), F.lit(x).alias("x"), y.alias("y"), F.lit(w).alias("w"), F.lit(h).alias("h"))
+    words = box(lines, "word", 20.0, F.col("y"), 60.0, 20.0).unionByName(box(lines, "word", 150.0, F.col("y"), 80.0, 20.0))
+    ink = lines.filter("there").withColumn("row", F.explode(F.sequence(F.lit(2), F.lit(17))))
+    return raster.orphan_glyphs(words.unionByName(box(ink, "ink", 110.0, F.col("y") + F.col("row"), 8.0, 1.0)).distinct(), 20.0)
+
+
+QUERIES["orphan_glyphs"] = orphan_glyphs
+ORACLE_SQL["orphan_glyphs"] = """with l as (select distinct cast(l_orderkey as varchar) as page_id, l_linenumber * 40.0 as y from lineitem where l_partkey % 5 <> 0)
+select page_id, 110.0::double as x, (y + 2)::double as y, 8.0::double as w, 16.0::double as h from l qualify count(*) over (partition by page_id) >= 3"""
+
+
+def stack_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of several lines as stacks: a bar of ink for each line in one tall region, and a word beside it."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.countDistinct("l_linenumber").alias("n")).filter("n > 1")
+    lines = lines.select(F.col("l_orderkey").cast("string").alias("page_id"), "n")
+    each = lines.withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
+    ink = each.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(15)))).select("page_id", F.lit("ink").alias("kind"), F.lit(50.0).alias("x"), (F.col("k") * 30.0 + F.col("row")).alias("y"), F.lit(12.0).alias("w"), F.lit(1.0).alias("h"))
+    words = each.select("page_id", F.lit("word").alias("kind"), F.lit(90.0).alias("x"), (F.col("k") * 30.0 - 2).alias("y"), F.lit(60.0).alias("w"), F.lit(20.0).alias("h"))
+    region = lines.select("page_id", F.lit("region").alias("kind"), F.lit(45.0).alias("x"), F.lit(0.0).alias("y"), F.lit(20.0).alias("w"), (F.col("n") * 30.0).alias("h"))
+    return raster.cut_stacks(ink.unionByName(words).unionByName(region), 20.0)
+
+
+QUERIES["stack_cuts"] = stack_cuts
+ORACLE_SQL["stack_cuts"] = """with l as (select cast(l_orderkey as varchar) as page_id, count(distinct l_linenumber) as n from lineitem group by all having count(distinct l_linenumber) > 1)
+select page_id, 0 as region, 50.0::double as x, unnest(range(n)) * 30.0::double as y, 12.0::double as w, 16.0::double as h, true as "table" from l"""
 
 
 def count_time_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,10 +243,12 @@ select page_id, length(trim(regexp_replace(h, '\s+', ' ', 'g'))) as n from c"""
 
 
 def audit_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audits of orders under 400 as JSON."""
-    some = F.col("path") < 400
-    return files.audit_json(_documents(spark, sf_dir).filter(some), _findings(spark, sf_dir).filter(some & (F.col("verdict") != "Fine"))).select("path", F.get_json_object("json", "$.flagged").cast("long").alias("flagged"))
+    """Audits of all documents as JSON, read again: the flag count and the findings as text."""
+    made = files.audit_json(_documents(spark, sf_dir), _findings(spark, sf_dir).filter(F.col("verdict") != "Fine"))
+    return made.select("path", F.get_json_object("json", "$.flagged").cast("long").alias("flagged"), F.get_json_object("json", "$.page_count").cast("long").alias("page_count"),
+                       F.array_join(F.from_json(F.get_json_object("json", "$.pages"), "array<struct<page_number:int,verdict:string>>")["verdict"], ",").alias("verdicts"))
 
 
 QUERIES["audit_json"] = audit_json
-ORACLE_SQL["audit_json"] = f"with {_DOCS} select path, flagged from d where path < 400"
+ORACLE_SQL["audit_json"] = f"""with {_DOCS}, v as (select path, string_agg(verdict, ',' order by page_number, verdict, kind, round(uncovered, 6)) as verdicts from f where verdict <> 'Fine' group by path)
+select path, flagged, page_count, coalesce(verdicts, '') as verdicts from d left join v using (path)"""

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 
@@ -85,12 +86,22 @@ def supplement_hash(repairs: DataFrame) -> DataFrame:
     return repairs.groupBy("path").agg(F.substring(F.upper(F.sha2(joined, 256)), 1, 16).alias("supplement_hash"))
 
 
-def merge_recovered(pages: DataFrame, repairs: DataFrame) -> DataFrame:
-    """doc_id, page_number, text, embedded_chars, ocr_chars: embedded text as it is, what was recovered behind an empty line."""
-    both = pages.join(repairs.select("doc_id", "page_number", "ocr_text"), ["doc_id", "page_number"], "left")
-    has, embedded = F.coalesce(F.length(F.trim("ocr_text")), F.lit(0)) > 0, F.length("text")
-    text = F.when(~has, F.col("text")).when(embedded > 0, F.concat_ws("\n\n", "text", "ocr_text")).otherwise(F.col("ocr_text"))
-    return both.select("doc_id", "page_number", text.alias("text"), F.when(has, embedded).alias("embedded_chars"), F.when(has, F.length("ocr_text")).alias("ocr_chars"))
+def merge_recovered(pages: DataFrame, repairs: DataFrame, common: Sequence[str]) -> DataFrame:
+    """Pages(doc_id, page_number, text[, alternates]) with what repairs(doc_id, page_number, ocr_text, confidence) recovered.
+
+    The page's own text stays as it is; the recovered text is dehyphenated (``common``: the common words)
+    and stands behind an empty line, or alone. alternates of both are joined by a blank. Where something
+    was recovered: embedded_chars, ocr_chars, confidence and ocr_text say where the text is from.
+    """
+    if "alternates" not in pages.columns:
+        pages = pages.withColumn("alternates", F.lit(""))
+    found = dehyphenated(repairs.filter(F.length("ocr_text") > 0).select("doc_id", "page_number", "ocr_text", "confidence"), common, "ocr_text")
+    both = pages.join(found.withColumnRenamed("alternates", "other"), ["doc_id", "page_number"], "left")
+    has = F.col("ocr_text").isNotNull()
+    text = F.when(~has, F.col("text")).when(F.length("text") > 0, F.concat_ws("\n\n", "text", "ocr_text")).otherwise(F.col("ocr_text"))
+    given = F.filter(F.array("alternates", "other"), lambda a: F.coalesce(a, F.lit("")) != "")
+    return both.select("doc_id", "page_number", text.alias("text"), F.array_join(given, " ").alias("alternates"), F.when(has, F.length("text")).alias("embedded_chars"),
+                       F.length("ocr_text").alias("ocr_chars"), "ocr_text", "confidence")
 
 
 def already_held(incoming: DataFrame, held: DataFrame) -> DataFrame:
@@ -128,15 +139,89 @@ def free_name(wanted: Column, taken: Column) -> Column:
 
 
 def structural_diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """page, image_no, difference between two tables of images(page, image_no, width, height, filter); all of a page's if its counts differ."""
+    """page, image_no, difference between two tables of images(page, image_no, width, height, filter).
+
+    A page whose number of images changed has one row (``images``, no image_no); of others each image
+    that differs has one: lost, added, pixels, or filter.
+    """
     cols = ("width", "height", "filter")
-    a = before.select("page", "image_no", *(F.col(c).alias(f"a_{c}") for c in cols), F.lit(True).alias("in_a"))
-    b = after.select("page", "image_no", *(F.col(c).alias(f"b_{c}") for c in cols), F.lit(True).alias("in_b"))
+    a = before.select("page", "image_no", *(F.col(c).alias(f"a_{c}") for c in cols), F.lit(1).alias("in_a"))
+    b = after.select("page", "image_no", *(F.col(c).alias(f"b_{c}") for c in cols), F.lit(1).alias("in_b"))
     both = a.join(b, ["page", "image_no"], "full_outer")
+    of_page = Window.partitionBy("page")
+    both = both.withColumn("as_many", F.count("in_a").over(of_page) == F.count("in_b").over(of_page))
     pixels = ~(F.col("a_width").eqNullSafe(F.col("b_width")) & F.col("a_height").eqNullSafe(F.col("b_height")))
-    what = (F.when(F.col("in_b").isNull(), "lost").when(F.col("in_a").isNull(), "added").when(pixels, "pixels")
+    what = (F.when(~F.col("as_many"), "images").when(F.col("in_b").isNull(), "lost").when(F.col("in_a").isNull(), "added").when(pixels, "pixels")
             .when(~F.col("a_filter").eqNullSafe(F.col("b_filter")), "filter"))
-    return both.withColumn("difference", what).filter("difference is not null").select("page", "image_no", "difference")
+    found = both.select("page", F.when(F.col("as_many"), F.col("image_no")).alias("image_no"), what.alias("difference")).filter("difference is not null")
+    return found.distinct()
+
+
+def page_diff(before: DataFrame, after: DataFrame, tolerance: float = 0.05) -> DataFrame:
+    """path, page_number, difference (size, rotation, or both) between pages(path, page_number, width, height, rotation) met by their place.
+
+    A document whose number of pages changed has one row (``pages``, no page_number).
+    """
+    cols = ("width", "height", "rotation")
+    nth = F.row_number().over(Window.partitionBy("path").orderBy("page_number"))
+    side = lambda d, k: d.select("path", nth.alias("nth"), F.col("page_number").alias(f"{k}_page"), *(F.col(c).alias(f"{k}_{c}") for c in cols))
+    both = side(before, "a").join(side(after, "b"), ["path", "nth"], "full_outer")
+    of_path = Window.partitionBy("path")
+    both = both.withColumn("as_many", F.count("a_page").over(of_path) == F.count("b_page").over(of_path))
+    moved = (F.abs(F.col("a_width") - F.col("b_width")) > tolerance) | (F.abs(F.col("a_height") - F.col("b_height")) > tolerance)
+    parts = F.array_compact(F.array(F.when(moved, "size"), F.when(F.col("a_rotation") != F.col("b_rotation"), "rotation")))
+    what = F.when(~F.col("as_many"), "pages").when(F.size(parts) > 0, F.array_join(parts, ","))
+    return both.select("path", F.when(F.col("as_many"), F.col("a_page")).alias("page_number"), what.alias("difference")).filter("difference is not null").distinct()
+
+
+def first_difference(before: DataFrame, after: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """path, ordinal, difference: of lists (bookmarks, links) of documents, (path, ordinal, ...), the first entry that changed, or ``count``."""
+    nth = F.row_number().over(Window.partitionBy("path").orderBy("ordinal"))
+    side = lambda d, k: d.select("path", nth.alias("nth"), F.col("ordinal").alias(f"{k}_ordinal"), F.struct(*columns).alias(f"{k}_entry"))
+    both = side(before, "a").join(side(after, "b"), ["path", "nth"], "full_outer")
+    changed = F.min(F.when(~F.col("a_entry").eqNullSafe(F.col("b_entry")), F.col("a_ordinal")))
+    rolled = both.groupBy("path").agg(F.count("a_ordinal").alias("a"), F.count("b_ordinal").alias("b"), changed.alias("ordinal"))
+    other = F.col("a") != F.col("b")
+    return rolled.filter(other | F.col("ordinal").isNotNull()).select("path", F.when(~other, F.col("ordinal")).alias("ordinal"), F.when(other, "count").otherwise("changed").alias("difference"))
+
+
+def _named(files: DataFrame, paths: DataFrame | None) -> DataFrame:
+    """files with ``named``: whether their path is in paths(path), by any case; all are without paths."""
+    if paths is None:
+        return files.withColumn("named", F.lit(True))
+    wanted = paths.select(F.lower("path").alias("wanted")).distinct()
+    return files.join(wanted, F.lower("path") == F.col("wanted"), "left").withColumn("named", F.col("wanted").isNotNull()).drop("wanted")
+
+
+def reset_skipped(files: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+    """Skipped files (or those of paths) as discovered ones, without pages or error."""
+    again = F.col("named") & (F.col("status") == "Skipped")
+    return _named(files, paths).withColumns({
+        "page_count": F.when(again, 0).otherwise(F.col("page_count")), "error": F.when(~again, F.col("error")),
+        "status": F.when(again, "Discovered").otherwise(F.col("status"))}).drop("named")
+
+
+def reopen_completed(files: DataFrame, pages: DataFrame, paths: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(files, pages): finished files that were read and whose original is kept are to be read again, and their pages forgotten."""
+    again = F.col("named") & (F.col("status") == "Completed") & F.col("action").isin("Ocr", "StripAndRedo") & F.col("original_path").isNotNull()
+    marked = _named(files, paths).withColumn("again", F.coalesce(again, F.lit(False))).drop("named")
+    kept = pages.join(marked.filter("again").select("path"), "path", "left_anti")
+    opened = marked.withColumns({"status": F.when(F.col("again"), "Classified").otherwise(F.col("status")), "action": F.when(F.col("again"), "ReadAgain").otherwise(F.col("action")), "error": F.when(~F.col("again"), F.col("error"))})
+    return opened.drop("again"), kept
+
+
+def relink_originals(files: DataFrame, originals: DataFrame) -> DataFrame:
+    """Files without an original on record, not finished, that originals(path, original_path, content_hash, page_count) hold
+    with other content and as many pages: finished copies made from it."""
+    kept = originals.select("path", F.col("original_path").alias("kept_path"), F.col("content_hash").alias("kept_hash"), F.col("page_count").alias("kept_pages"))
+    lost = F.col("original_path").isNull() & F.col("status").isin("Skipped", "Classified", "Discovered", "Failed")
+    fits = F.col("kept_path").isNotNull() & ~F.col("kept_hash").eqNullSafe(F.col("content_hash")) & (F.col("kept_pages") == F.col("page_count"))
+    both = files.join(kept, "path", "left").withColumn("found", F.coalesce(lost & fits, F.lit(False)))
+    found = F.col("found")
+    return both.withColumns({
+        "status": F.when(found, "Completed").otherwise(F.col("status")), "action": F.when(found, "Ocr").otherwise(F.col("action")),
+        "output_path": F.when(found, F.col("path")).otherwise(F.col("output_path")), "original_path": F.when(found, F.col("kept_path")).otherwise(F.col("original_path")),
+        "error": F.when(~found, F.col("error"))}).drop("found", "kept_path", "kept_hash", "kept_pages")
 
 
 def dehyphenated(pages: DataFrame, common: Sequence[str], text: str = "text") -> DataFrame:
