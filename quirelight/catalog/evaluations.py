@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..operators import evaluate, search
-from .tables import DP, INDEX, pages, table
+from ..plans.storage import Scratch
+from . import searching
+from .tables import DP, INDEX, index, pages, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -73,32 +74,45 @@ ORACLE_SQL["phrase_control"] = rf"""with {DP}, w as (select doc_id, page_number,
 select doc_id, page_number, array_to_string(cut, ' ') as phrase from c where len(cut) = 8"""
 
 
+def _asked(spark: SparkSession, sf_dir: str, phrases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(queries, wanted) of phrases(doc_id, page_number, phrase): pages that ask the same are one query."""
+    tokens = phrases.select("doc_id", "page_number", tx.tokens(F.col("phrase")).alias("tokens")).filter(F.size("tokens") > 0)
+    wanted = tokens.select(F.array_join("tokens", " ").alias("query"), "doc_id", "page_number", "tokens")
+    return wanted.groupBy("query").agg(F.first("tokens").alias("tokens")), wanted.drop("tokens")
+
+
+def _ranks(spark: SparkSession, sf_dir: str, phrases: DataFrame, adjacent: bool) -> DataFrame:
+    queries, wanted = _asked(spark, sf_dir, phrases)
+    return evaluate.own_ranks(search.batch_hits(index(spark, sf_dir), queries, adjacent), wanted)
+
+
 def known_item_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages found by their own rarest word: asked, found, and within 25 and 10 by BM25 over that word. Every 40th document's page 1 asks."""
-    p = pages(spark, sf_dir)
-    post = search.postings(p)
-    size, mean = search.build_index(p).size()
-    f = post.groupBy("term", "doc_id", "page_number").agg((F.count("*") * 10.0).alias("f"))
-    held = f.groupBy("term").agg(F.count("*").alias("n"))
-    mine = f.filter("doc_id % 40 = 0 and page_number = 1").join(held, "term").filter(F.length("term") >= 7)
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("n", F.desc(F.length("term")), "term"))
-    asked = mine.withColumn("nth", first).filter("nth = 1").select(F.col("doc_id").alias("query"), "term", "n")
-    length = 1.2 * (0.25 + 0.75 * F.col("n_tokens") / F.lit(mean))
-    hits = f.join(asked, "term").join(search.page_stats(p), ["doc_id", "page_number"]).withColumn("score", F.round(-F.col("f") * 2.2 / (F.col("f") + length), 9))
-    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("score", "doc_id", "page_number")))
-    titled = ranked.select("query", "rank", F.col("doc_id").cast("string").alias("title"), "page_number")
-    wanted = asked.select("query", F.lit(1).alias("page_number"), F.col("query").cast("string").alias("document"))
-    return evaluate.known_item_counts(evaluate.known_item(titled.withColumn("title", F.concat(F.lit("#"), "title", F.lit("#"))), wanted.withColumn("document", F.concat(F.lit("#"), "document", F.lit("#")))))
+    """Pages found by their own rarest word in the index: asked, found, and within 25 and 10. Every page asks."""
+    rare = searching.rarest_term(spark, sf_dir).select("doc_id", "page_number", F.col("term").alias("phrase"))
+    return evaluate.known_item_counts(_ranks(spark, sf_dir, rare, True).withColumn("rank", F.col("page_rank")))
 
 
 QUERIES["known_item_eval"] = known_item_eval
 ORACLE_SQL["known_item_eval"] = f"""with {INDEX}, f as (select term, doc_id, page_number, count(*) * 10.0 as f from tk group by all), h as (select term, count(*) as n from f group by term),
- a as (select doc_id as query, term from f join h using (term) where doc_id % 40 = 0 and page_number = 1 and length(term) >= 7 qualify row_number() over (partition by doc_id order by n, length(term) desc, term) = 1),
- r as (select query, doc_id, page_number, row_number() over (partition by query order by round(-f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n_tokens / mean)), 9), doc_id, page_number) as rank
-   from f join a using (term) join st using (doc_id, page_number), const),
- k as (select query, min(rank) filter (doc_id = query and page_number = 1) as rank from r group by query)
+ a as (select doc_id, page_number, term from f join h using (term) where length(term) >= 7 qualify row_number() over (partition by doc_id, page_number order by n, length(term) desc, term) = 1),
+ s as (select term, doc_id, page_number, round(-(case when ln((pages - n + 0.5) / (n + 0.5)) > 0 then ln((pages - n + 0.5) / (n + 0.5)) else 1e-6 end) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n_tokens / mean)), 9) as score
+   from f semi join a using (term) join h using (term) join st using (doc_id, page_number), const),
+ r as (select *, row_number() over (partition by term order by score, doc_id, page_number) as rank from s), k as (select rank from a left join r using (term, doc_id, page_number))
 select count(*) as asked, count(rank) as found, count(*) filter (rank <= 25) as within_25, count(*) filter (rank <= 10) as within_10 from k"""
 
+QUERIES["phrase_ranks"] = lambda s, d: evaluate.known_item_counts(_ranks(s, d, QUERIES["phrase_control"](s, d), True).withColumn("rank", F.col("page_rank")))
+_PHRASES = rf"""w as (select doc_id, page_number, regexp_extract_all(text, '[^{tx.BLANK}]{{3,}}') as words from dp where length(text) > 600),
+ ph as (select doc_id, page_number, regexp_extract_all(strip_accents(lower(array_to_string(words[len(words) // 3 + 1: len(words) // 3 + 8], ' '))), '[\p{{L}}\p{{N}}]+') as k from w where len(words[len(words) // 3 + 1: len(words) // 3 + 8]) = 8),
+ asked as (select distinct array_to_string(k, ' ') as query from ph where len(k) > 0),
+ line as (select doc_id, page_number, len(t) as n_tokens, ' ' || array_to_string(t, ' ') || ' ' as spelled from toks)"""
+ORACLE_SQL["phrase_ranks"] = f"""with {INDEX}, {_PHRASES},
+ o as (select query, doc_id, page_number, n_tokens, len(string_split(replace(spelled, ' ', '  '), ' ' || replace(query, ' ', '  ') || ' ')) - 1 as n from asked join line on contains(spelled, ' ' || query || ' ')),
+ h as (select query, count(*) as k from o group by query),
+ s as (select query, doc_id, page_number, round(-(case when ln((pages - k + 0.5) / (k + 0.5)) > 0 then ln((pages - k + 0.5) / (k + 0.5)) else 1e-6 end) * n * 10 * 2.2 / (n * 10 + 1.2 * (0.25 + 0.75 * n_tokens / mean)), 9) as score from o join h using (query), const),
+ r as (select *, row_number() over (partition by query order by score, doc_id, page_number) as rank from s),
+ p as (select array_to_string(k, ' ') as query, doc_id, page_number from ph where len(k) > 0), x as (select rank from p left join r using (query, doc_id, page_number))
+select count(*) as asked, count(rank) as found, count(*) filter (rank <= 25) as within_25, count(*) filter (rank <= 10) as within_10 from x"""
+
 
 def command_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commands on each page; pages say none, so word pairs whose first letters are raised stand in for them."""
@@ -111,13 +125,57 @@ ORACLE_SQL["command_pages"] = rf"""with {DP}, w as (select doc_id, page_number,
 select doc_id, page_number, len(list_distinct(regexp_extract_all(regexp_replace(t, '[^\x00-\x7F]', ' ', 'g'), '[A-Z]{{2,}}[a-z]+(?::[A-Z]{{2,}}[a-z]+)+'))) as n_commands from w"""
 
 
-def newly_findable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages whose later text begins with the earlier one (its first half) and is over 200 characters longer."""
-    p = pages(spark, sf_dir)
+def command_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's first word of seven letters or more and the next such, as the levels of a command that must both be present: ranks of the page and of its document."""
+    words = F.slice(F.regexp_extract_all(F.col("text"), F.lit("(?<![A-Za-z])[a-z]{7,}(?![A-Za-z])"), F.lit(0)), 1, 2)
+    levels = index(spark, sf_dir).pages.select("doc_id", "page_number", words.alias("w")).filter("size(w) = 2")
+    found = _ranks(spark, sf_dir, levels.select("doc_id", "page_number", F.array_join("w", " ").alias("phrase")), False)
+    n = lambda c, k: F.count(F.when(F.col(c) <= k, 1))
+    return found.agg(F.count("*").alias("asked"), F.count("page_rank").alias("found"), n("page_rank", 10).alias("page_within_10"), n("document_rank", 10).alias("document_within_10"), n("document_rank", 1).alias("document_first"))
+
+
+QUERIES["command_ranks"] = command_ranks
+
+
+def _grown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases out of what pages have gained whose later text begins with the earlier one (its first half) and is over 200 characters longer."""
+    p = index(spark, sf_dir).pages
     half = p.withColumn("text", F.substring(F.col("text"), F.lit(1), F.floor(F.length("text") / 2).cast("int")))
     return evaluate.newly_findable(half, p)
 
 
-QUERIES["newly_findable"] = newly_findable
+QUERIES["newly_findable"] = _grown
 ORACLE_SQL["newly_findable"] = rf"""with {DP}, w as (select doc_id, page_number, list_filter(regexp_split_to_array(trim(substr(text, length(text) // 2 + 1)), '\s+'), lambda x: length(x) >= 3) as n from dp where length(text) - length(text) // 2 > 200)
 select doc_id, page_number, array_to_string(n[len(n) // 3 + 1: len(n) // 3 + 6], ' ') as phrase from w"""
+
+
+def findable_before_and_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those phrases searched in an index of the earlier texts and in one of the later: pages asked, found before, found after, and within 10 after."""
+    p = index(spark, sf_dir).pages
+    half = p.withColumn("text", F.substring(F.col("text"), F.lit(1), F.floor(F.length("text") / 2).cast("int")))
+    folder = Scratch(spark, "index").path("earlier")
+    search.write_index(half, folder)
+    queries, wanted = _asked(spark, sf_dir, _grown(spark, sf_dir))
+    before = evaluate.own_ranks(search.batch_hits(search.read_index(spark, folder), queries, True), wanted).withColumnRenamed("page_rank", "before")
+    after = evaluate.own_ranks(search.batch_hits(index(spark, sf_dir), queries, True), wanted).withColumnRenamed("page_rank", "after")
+    both = before.drop("document_rank").join(after.drop("document_rank"), ["query", "doc_id", "page_number"])
+    return both.agg(F.count("*").alias("asked"), F.count("before").alias("found_before"), F.count("after").alias("found_after"), F.count(F.when(F.col("after") <= 10, 1)).alias("within_10_after"))
+
+
+QUERIES["findable_before_and_after"] = findable_before_and_after
+
+
+def config_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages read in three settings: letters lost, words lost, and one that could not read every fifth page."""
+    truth = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("page_id"), tx.folded(F.col("text")).alias("truth"))
+    one = lambda name, text, keep="true": truth.filter(keep).select(F.lit(name).alias("configuration"), "page_id", text.alias("recognised"), F.lit(0.5).alias("seconds"))
+    readings = one("letters", F.replace("truth", F.lit("e"), F.lit("c"))).unionByName(one("words", F.regexp_replace("truth", r"\bth[a-z]*", ""))).unionByName(one("pages", F.col("truth"), "page_id % 5 <> 0"))
+    return evaluate.sweep(truth, readings).select("configuration", "pages", F.col("seconds").alias("seconds"), "unread", F.round("cer", 6).alias("cer"))
+
+
+QUERIES["config_sweep"] = config_sweep
+ORACLE_SQL["config_sweep"] = r"""with t as (select item_id, strip_accents(lower(text)) as truth from benchmark),
+ r as (select 'letters' as configuration, item_id, truth, replace(truth, 'e', 'c') as seen, 0.5 as seconds, 0 as unread from t union all select 'words', item_id, truth, regexp_replace(truth, '\bth[a-z]*', '', 'g'), 0.5, 0 from t
+  union all select 'pages', item_id, truth, case when item_id % 5 <> 0 then truth else '' end, case when item_id % 5 <> 0 then 0.5 else 0 end, (item_id % 5 = 0)::int from t),
+ n as (select *, trim(regexp_replace(truth, '\s+', ' ', 'g')) as a, trim(regexp_replace(seen, '\s+', ' ', 'g')) as b from r)
+select configuration, count(*) as pages, sum(seconds)::double as seconds, sum(unread) as unread, round(sum(levenshtein(a, b)) / sum(length(a)), 6) as cer from n group by configuration"""
