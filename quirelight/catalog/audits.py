@@ -135,6 +135,17 @@ ORACLE_SQL["sample_pages"] = """with d as (select p_partkey as path, p_partkey %
  s as (select path, case when n <= 8 then range(1, n + 1) else range(low, greatest(low, high) + 1, greatest(1, greatest(1, high - low) // 8))[1:8] end as p from e)
 select path, unnest(p) as page_number from s"""
 QUERIES["sample_flagged"] = lambda s, d: audit.sample_rows(_findings(s, d).filter("verdict = 'UnderExtracted'").select("path", "page_number", "kind"), 40, 1, ["path", "page_number"])
+QUERIES["sample_unflagged"] = lambda s, d: audit.sample_unflagged(_documents(s, d), _findings(s, d).filter("verdict = 'UnderExtracted'"), 40, 1)
+
+
+def scans_without_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that are one image and carry no text; every thirteenth part has hidden text."""
+    raw = _raw(spark, sf_dir).withColumn("glyphs", F.col("glyphs") % 90).withColumnRenamed("type3", "hidden")
+    return audit.scans_without_text(raw).select("path", "page_number")
+
+
+QUERIES["scans_without_text"] = scans_without_text
+ORACLE_SQL["scans_without_text"] = f"with {_RAW} select path, page_number from raw where glyphs % 90 <= 40 and not type3 and image >= 0.5"
 QUERIES["publisher_truth"] = lambda s, d: audit.publisher_pages(_findings(s, d).withColumn("decoded", F.col("glyphs")), 40)
 ORACLE_SQL["publisher_truth"] = f"""with {_RAW}, w as (select * from f where verdict = 'Fine' and not type3 and path_ops < 40 and image <= 0.10 and glyphs > 0 and glyphs >= 900),
  a as (select * from w qualify row_number() over (partition by fingerprint order by path, page_number) = 1),
@@ -145,16 +156,16 @@ select path, page_number from b order by path, page_number limit 40"""
 def heading_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the first page's first line, as a title, is missing from the second page."""
     p = pages(spark, sf_dir)
-    title = p.filter("page_number = 1").select("doc_id", F.substring(F.element_at(F.split("text", "\n"), 1), 1, 60).alias("title"))
+    title = p.filter("page_number = 1").select("doc_id", F.element_at(F.split("text", "\n"), 1).alias("title"))
     return p.filter("page_number = 2").join(title, "doc_id").select("doc_id", audit.heading_missing(F.col("title"), F.col("text")).alias("missing"))
 
 
 QUERIES["heading_missing"] = heading_missing
-ORACLE_SQL["heading_missing"] = rf"""with {DP}, t as (select doc_id, left(string_split(text, chr(10))[1], 60) as title from dp where page_number = 1),
+ORACLE_SQL["heading_missing"] = rf"""with {DP}, t as (select doc_id, string_split(text, chr(10))[1] as title from dp where page_number = 1),
  w as (select doc_id, text, list_filter(list_transform(regexp_split_to_array(title, '\s+'), lambda x: trim(x, '.,:;()-')), lambda x: length(x) >= 4) as words from dp join t using (doc_id) where page_number = 2)
 select doc_id, len(words) > 0 and len(list_filter(words, lambda x: contains(lower(text), lower(x)))) * 2 < len(words) as missing from w"""
 QUERIES["run_report"] = lambda s, d: audit.run_report(_raw(s, d), "quantity")
-ORACLE_SQL["run_report"] = "select count(*) as pages, sum(l_quantity) as seconds, max(l_quantity) as slowest, count(*) * 60 / sum(l_quantity) as pages_per_minute from lineitem"
+ORACLE_SQL["run_report"] = "select count(*) as pages, sum(l_quantity) as seconds, avg(l_quantity) as mean, max(l_quantity) as slowest, count(*) * 60 / sum(l_quantity) as pages_per_minute from lineitem"
 #: A key is a customer's, so that a fold has as many runs as a customer has orders, however many orders there are.
 QUERIES["learned_rate"] = lambda s, d: audit.learned_rates(table(s, d, "orders").select(
     F.col("o_custkey").cast("string").alias("key"), F.col("o_orderkey").alias("run"), (F.col("o_totalprice") / 1000).alias("rate"), (F.col("o_custkey") % 50 + 1).alias("pages")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import layout, raster
+from ..plans.storage import Scratch
 from ..sources import files
 from ..streaming import windows
 from .audits import _DOCS, _documents, _findings
@@ -242,6 +243,85 @@ ORACLE_SQL["html_pages"] = r"""with a as (select page_id, regexp_replace(html, '
 select page_id, length(trim(regexp_replace(h, '\s+', ' ', 'g'))) as n from c"""
 
 
+QUERIES["stepped_levels"] = lambda s, d: windows.stepped_levels(table(s, d, "events").withColumn("minute", F.date_trunc("minute", "ts")).groupBy("event_type", "minute").agg(F.round(F.sum("value"), 6).alias("spilled")), "event_type", "minute", "spilled", 6, 50.0)
+QUERIES["parsed_links"] = lambda s, d: QUERIES["page_links"](s, d).select("page_id", *(c.alias(n) for c, n in zip(files.parse_link(F.col("link")), ("path", "page", "picture"))))
+ORACLE_SQL["parsed_links"] = "select page_id, 'a b/' || regexp_replace(url, '[^a-z0-9/.-]', '', 'g') as path, page_id::integer as page, false as picture from pages"
+QUERIES["edge_hashes"] = lambda s, d: read(s, d, "documents", "doc_id", "text").select("doc_id", tx.edge_fingerprint(F.encode("text", "UTF-8"), 64).alias("edge_hash"), F.octet_length("text").cast("long").alias("size"))
+ORACLE_SQL["edge_hashes"] = """with h as (select doc_id, hex(encode(text)) as x from documents)
+select doc_id, upper(sha256(unhex(case when length(x) > 256 then left(x, 128) || right(x, 128) else left(x, 128) end))) as edge_hash, length(x) // 2 as size from h"""
+QUERIES["file_discovery"] = lambda s, d: files.discover(s, d, (), "*.parquet").select("path", "size")
+
+
+def extracted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files whose pages are parted by line feeds: a page that begins with a capital D fails, a file that begins with one cannot be opened."""
+    def pages_of(content: bytes):
+        text = content.decode()
+        if text.startswith("D"):
+            raise ValueError("no such file")
+
+        def page(t: str) -> str:
+            if t.startswith("D"):
+                raise ValueError("no such page")
+            return t
+
+        return [lambda t=t: page(t) for t in text.split("\n")]
+
+    docs = read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    return files.extract_pages(docs, pages_of, "doc_id")
+
+
+QUERIES["extracted_pages"] = extracted_pages
+ORACLE_SQL["extracted_pages"] = """with p as (select doc_id, text, string_split(text, chr(10)) as rows from documents),
+ r as (select doc_id, unnest(rows) as t, generate_subscripts(rows, 1) as page_number from p where not starts_with(text, 'D'))
+select doc_id, page_number, case when starts_with(t, 'D') then '' else t end as text, case when starts_with(t, 'D') then 'ValueError: no such page' end as error from r
+union all select doc_id, null, '', 'ValueError: no such file' from p where starts_with(text, 'D')"""
+
+
+def page_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A book of all second pages of documents, in order; every seventh could not be rendered. Its list is written and read again first."""
+    scratch = Scratch(spark, "book")
+    second = pages(spark, sf_dir).filter("page_number = 2").select(F.concat(F.lit("a\tb/"), F.col("doc_id").cast("string")).alias("path"), F.col("page_number").alias("page"))
+    files.page_list(second).write.mode("overwrite").text(scratch.path("list"))
+    read_back = files.read_page_list(spark, scratch.path("list")).withColumn("nth", F.substring_index("path", "/", -1).cast("long"))
+    outcomes = read_back.withColumn("error", F.when(F.col("nth") % 7 == 0, F.lit("not rendered")))
+    return files.book_manifest(outcomes, scratch)
+
+
+QUERIES["page_book"] = page_book
+ORACLE_SQL["page_book"] = f"""with {DP}, s as (select doc_id, 'a' || chr(9) || 'b/' || doc_id as path from dp where page_number = 2)
+select row_number() over (order by doc_id) as book_page, 2 as page, path, null as error from s where doc_id % 7 <> 0 union all select 0, 2, path, 'not rendered' from s where doc_id % 7 = 0"""
+
+
+def ground_truth_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ground-truth list written as CSV and read again, to which the pages it lacks are added; what it has stays."""
+    scratch = Scratch(spark, "truth")
+    rows = table(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit('m "'), (F.col("item_id") % 50).cast("string"), F.lit('", x.pdf')).alias("manual"), F.col("item_id").cast("int").alias("page"),
+        F.when(F.col("item_id") % 3 == 0, "TABLE").when(F.col("item_id") % 3 == 1, "prose").otherwise("odd").alias("kind"), F.lit("t").alias("textFile"), F.lit("Hand").alias("source"))
+    rows.filter("page % 2 = 0").write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(scratch.path("manifest"))
+    return files.seed_manifest(files.read_manifest(spark, scratch.path("manifest")), rows.withColumn("source", F.lit("Seed")).withColumn("kind", F.lit("Mixed")))
+
+
+QUERIES["ground_truth_seed"] = ground_truth_seed
+ORACLE_SQL["ground_truth_seed"] = """select 'm "' || item_id % 50 || '", x.pdf' as manual, item_id::integer as page,
+ case when item_id % 2 <> 0 then 'Mixed' when item_id % 3 = 0 then 'Table' when item_id % 3 = 1 then 'Prose' else 'Mixed' end as kind, 't' as "textFile", case when item_id % 2 = 0 then 'Hand' else 'Seed' end as source from benchmark"""
+
+
+def survey_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The survey's report written as CSV and read again as text."""
+    scratch = Scratch(spark, "survey")
+    rows = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit('a, "b"\nc/'), F.col("o_orderkey").cast("string")).alias("path"), (F.col("o_orderkey") % 9).alias("pages"), F.lit("GoodText").alias("text_class"), F.lit("Skip").alias("action"),
+        (F.col("o_custkey") % 64 / 7).alias("alphanumeric_per_page"), (F.col("o_custkey") % 16 / 17).alias("plausible_ratio"), F.when(F.col("o_orderkey") % 3 == 0, F.lit("x\r\ny")).alias("error"))
+    files.write_report(rows, scratch.path("survey.csv"))
+    return spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(scratch.path("survey.csv"))
+
+
+QUERIES["survey_csv"] = survey_csv
+ORACLE_SQL["survey_csv"] = """select 'a, "b" c/' || o_orderkey as path, (o_orderkey % 9)::varchar as pages, 'GoodText' as text_class, 'Skip' as action,
+ format('{:.1f}', o_custkey % 64 / 7) as alphanumeric_per_page, format('{:.4f}', o_custkey % 16 / 17) as plausible_ratio, case when o_orderkey % 3 = 0 then 'x y' end as error from orders"""
+
+
 def audit_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audits of all documents as JSON, read again: the flag count and the findings as text."""
     made = files.audit_json(_documents(spark, sf_dir), _findings(spark, sf_dir).filter(F.col("verdict") != "Fine"))

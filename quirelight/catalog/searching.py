@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
+from ..operators import audit, search
 from ..operators import query as qy
-from ..operators import search
+from ..operators.snippet import snippet_column
+from ..sources import files
 from .tables import DP, INDEX, LIBRARY, index, library, pages, search_sql
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -75,7 +77,7 @@ _PROVENANCE = """prov as (
 def search_join_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits beside their file (inner) and the page's provenance (left): page source, confidence and label."""
     p = index(spark, sf_dir).pages
-    hits = _hits(spark, sf_dir, '"of the"').join(library(spark, sf_dir), "doc_id").join(_provenance(p), ["doc_id", "page_number"], "left")
+    hits = _hits(spark, sf_dir, '"of the"').join(p, ["doc_id", "page_number"]).drop("text").join(_provenance(p), ["doc_id", "page_number"], "left")
     source = search.page_source(F.col("embedded_chars"), F.col("ocr_text"))
     return hits.select("path", "page_number", F.round("score", 6).alias("score"), source.alias("page_source"),
                        search.source_label(source, F.col("ocr_confidence")).alias("label"))
@@ -94,7 +96,7 @@ select path, page_number, round(score, 6) as score, page_source,
 def _window_hits(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
     p = index(spark, sf_dir).pages
     top = _hits(spark, sf_dir, query).withColumn("score", F.round("score", 9)).orderBy("score", "doc_id", "page_number").limit(search.window_size(10))
-    found = top.join(p, ["doc_id", "page_number"]).join(library(spark, sf_dir), "doc_id")
+    found = top.join(p, ["doc_id", "page_number"])
     return found.join(_provenance(p).select("doc_id", "page_number", F.col("ocr_text").alias("recovered"), "embedded_chars"), ["doc_id", "page_number"], "left")
 
 
@@ -138,6 +140,82 @@ ORACLE_SQL["search_fold_duplicates"] = _RERANK + """,
 select paths[1] as path, page_number, score, array_to_string(paths[2:], ',') as also_at from g"""
 
 
+def search_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole search for a bare term with a model hint: window, biases, copies folded, ten hits."""
+    p = index(spark, sf_dir).pages
+    held = p.join(_provenance(p).select("doc_id", "page_number", F.col("ocr_text").alias("recovered"), "embedded_chars"), ["doc_id", "page_number"], "left")
+    hits = search.search(held, index(spark, sf_dir), "idiot", model="src1")
+    return hits.select("rank", "path", "title", "page_number", F.round("score", 6).alias("score"), "match_source", "page_source", F.array_join("also_at", ",").alias("also_at"))
+
+
+QUERIES["search_whole"] = search_whole
+ORACLE_SQL["search_whole"] = _RERANK.replace("ocr_text, case", "ocr_text, embedded_chars, case") + """,
+ o as (select *, score * multiplier as biased, row_number() over (order by score, doc_id, page_number) as bm25_rank,
+   case when ocr_text is null then 'Embedded' when embedded_chars > 0 then 'Mixed' else 'Ocr' end as page_source from r),
+ g as (select *, row_number() over (partition by content_hash, page_number order by biased, bm25_rank) as nth, list(path) over (partition by content_hash, page_number order by biased, bm25_rank rows between unbounded preceding and unbounded following) as paths from o)
+select row_number() over (order by biased, bm25_rank) as rank, path, title, page_number, round(biased, 6) as score, match_source, page_source, array_to_string(paths[2:], ',') as also_at
+from g where nth = 1 qualify rank <= 10"""
+QUERIES["search_files_only"] = lambda s, d: files.files_only(search_whole(s, d)).select("path", "rank")
+ORACLE_SQL["search_files_only"] = "select path, min(rank) as rank from (" + ORACLE_SQL["search_whole"] + ") group by path"
+
+
+def search_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the first fifty hits of two phrases show. The snippets are held against SQLite's in a test."""
+    node, _ = qy.read('"of the" OR licensed')
+    top = search.bm25(index(spark, sf_dir), node).withColumn("score", F.round("score", 9)).orderBy("score", "doc_id", "page_number").limit(50)
+    return top.join(index(spark, sf_dir).pages, ["doc_id", "page_number"]).select("doc_id", "page_number", snippet_column(F.col("text"), node).alias("snippet"))
+
+
+QUERIES["search_snippets"] = search_snippets
+
+
+def search_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON of a search, read again: its version, its hits, and a caveat."""
+    text = files.search_json(search_whole(spark, sf_dir), {"audit": "none"})
+    row = spark.createDataFrame([(text,)], "json string")
+    hits = F.from_json(F.get_json_object("json", "$.results"), "array<struct<rank:int,path:string>>")
+    return row.select(F.get_json_object("json", "$.schemaVersion").cast("int").alias("version"), F.array_join(hits["path"], ",").alias("paths"), F.get_json_object("json", "$.caveats.audit").alias("caveat"))
+
+
+QUERIES["search_json"] = search_json
+ORACLE_SQL["search_json"] = "select 1 as version, string_agg(path, ',' order by rank) as paths, 'none' as caveat from (" + ORACLE_SQL["search_whole"] + ")"
+
+#: Typed queries, and what each is read as: the expression, whether it was typed as one, whether it is a bare term, its terms and mnemonics, and whether it had to be read as plain words.
+_TYPED = [
+    ("SOURce:POWer {LOW|HIGH}", '"SOURce" AND "POWer" AND ("LOW" OR "HIGH")', False, False, "SOURce POWer LOW HIGH", "SOURce POWer", False),
+    ('"quiet sea" tide', '"quiet sea" AND "tide"', False, False, "quiet sea tide", "", False), ("ab-cd", '"ab-cd"', False, True, "ab cd", "", False),
+    ("storm*", "storm*", True, False, "storm", "", False), ("gale OR calm", "gale OR calm", True, False, "gale calm", "", False), ("--", None, False, True, "", "", False),
+    ("wave AND (foam", "wave AND (foam", True, False, "wave foam", "", True), ("10 MHz", '"10" AND "MHz"', False, False, "10 MHz", "", False), ("", None, False, False, "", "", False),
+]
+
+
+def typed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How typed queries are read."""
+    rows = [(q, qy.prepare(q), qy.looks_like_expression(q), qy.is_bare_term(q), " ".join(qy.terms(q)), " ".join(qy.mnemonics(q)), qy.read(q)[1] is not None) for q, *_ in _TYPED]
+    return spark.createDataFrame(rows, "query string, prepared string, expression boolean, bare boolean, terms string, mnemonics string, as_words boolean")
+
+
+QUERIES["typed_queries"] = typed_queries
+ORACLE_SQL["typed_queries"] = "select * from (values " + ", ".join(
+    "(" + ", ".join("null" if v is None else str(v).lower() if isinstance(v, bool) else "'" + v + "'" for v in row) + ")" for row in _TYPED) + ") v(query, prepared, expression, bare, terms, mnemonics, as_words)"
+
+
+def search_notation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window re-ranked for a typed command: pages that spell its mnemonic as typed (every second one is made to) count for more."""
+    node, _ = qy.read("was AND for")
+    top = search.bm25(index(spark, sf_dir), node).withColumn("score", F.round("score", 9)).orderBy("score", "doc_id", "page_number").limit(search.window_size(10))
+    spelled = F.when((F.col("doc_id") + F.col("page_number")) % 2 == 0, F.concat(F.lit("SOURce "), "text")).otherwise(F.col("text"))
+    hits = top.join(index(spark, sf_dir).pages, search.PAGE).withColumn("text", spelled).withColumn("recovered", F.lit(""))
+    return search.rerank(hits, ":SOURce").select("doc_id", "page_number", F.round("multiplier", 6).alias("multiplier"))
+
+
+QUERIES["search_notation"] = search_notation
+ORACLE_SQL["search_notation"] = search_sql({"a": ["was"], "b": ["for"]}, f"{_PAIR}a intersect {_PAIR}b") + f""",
+ top as (select doc_id, page_number, text from (select * from hits order by round(score, 9), doc_id, page_number limit 600) join dp using (doc_id, page_number)),
+ m as (select *, (doc_id + page_number) % 2 = 0 as spelled, string_split(case when (doc_id + page_number) % 2 = 0 then 'SOURce ' || text else text end, chr(10)) as rows from top)
+select doc_id, page_number, (case when spelled or contains(text, 'SOURce') then 1.4 else 1.0 end) * (case when len(list_filter(rows, lambda x: length(trim(x, '{tx.BLANKS}')) between 1 and 14 and contains(lower(x), 'source'))) > 0 then 1.4 else 1.0 end) as multiplier from m"""
+
+
 def best_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twelve files with the best page for a query."""
     hits = _hits(spark, sf_dir, "was").withColumn("score", F.round("score", 6))
@@ -213,23 +291,27 @@ from dp left join prov using (doc_id, page_number) where page_number between 1 a
 
 
 def miss_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What to say where a word is not found: unproven without an audit, outstanding pages named, else truly absent.
+    """What to say where a word is not found, asked of each source for one rare term: found; unproven without an audit; not an
+    absence while pages are outstanding, the five worst documents named; else an absence.
 
-    Asked of each source for one rare term; a document of a length divisible by 7 counts as not audited,
-    by 5 as outstanding.
+    Sources with an odd number of documents count as not audited; a document of a length divisible by 5 has outstanding pages.
     """
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = docs.withColumn("held", F.contains(F.lower("text"), F.lit("worthless")).cast("int"))
-    per = found.groupBy("source").agg(
-        F.sum("held").alias("hits"), F.sum((F.col("n_chars") % 7 == 0).cast("int")).alias("unaudited"), F.sum((F.col("n_chars") % 5 == 0).cast("int")).alias("outstanding"))
-    say = F.when(F.col("hits") > 0, "found").when(F.col("unaudited") > 0, "unproven").when(F.col("outstanding") > 0, F.concat(F.lit("outstanding: "), F.col("outstanding").cast("string"))).otherwise("absent")
-    return per.select("source", "hits", say.alias("advice"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("source is not null")
+    node, _ = qy.read("worthless")
+    found = search.matching(index(spark, sf_dir), node).select("doc_id").distinct().join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count("*").alias("hits"))
+    audited = docs.groupBy("source").agg((F.count("*") % 2 == 0).alias("audited"))
+    open_ = docs.filter("n_chars % 5 = 0").select("source", F.col("doc_id").cast("string").alias("path"), (F.col("n_chars") % 7 + 1).alias("outstanding"), F.col("n_chars").alias("recoverable"))
+    return audit.miss_advice(audited.join(found, "source", "left").withColumn("hits", F.coalesce("hits", F.lit(0))), open_, "source")
 
 
 QUERIES["miss_advice"] = miss_advice
-ORACLE_SQL["miss_advice"] = """select source, hits, case when hits > 0 then 'found' when unaudited > 0 then 'unproven'
- when outstanding > 0 then 'outstanding: ' || outstanding else 'absent' end as advice
-from (select source, sum(contains(lower(text), 'worthless')::int) as hits, sum((n_chars % 7 = 0)::int) as unaudited, sum((n_chars % 5 = 0)::int) as outstanding from documents group by source)"""
+ORACLE_SQL["miss_advice"] = f"""with {INDEX}, a as (select source, count(*) % 2 = 0 as audited from documents where source is not null group by source),
+ h as (select source, count(distinct doc_id) as hits from documents semi join (select distinct doc_id from tk where term = 'worthless') t using (doc_id) group by source),
+ o as (select source, doc_id::varchar as path, n_chars % 7 + 1 as outstanding, n_chars from documents where n_chars % 5 = 0),
+ w as (select source, sum(outstanding) as outstanding, array_to_string((list(path order by n_chars desc, outstanding desc, path))[1:5], ',') as worst from o group by source)
+select a.source, coalesce(hits, 0) as hits, case when coalesce(hits, 0) > 0 then 'found' when not audited then 'unproven' when coalesce(outstanding, 0) > 0 then 'outstanding' else 'absent' end as advice,
+ case when coalesce(hits, 0) = 0 and audited then coalesce(outstanding, 0) else 0 end as outstanding, case when coalesce(hits, 0) = 0 and audited and outstanding > 0 then worst else '' end as worst
+from a left join h using (source) left join w using (source)"""
 
 
 def rarest_term(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,13 +24,14 @@ _WRITTEN: dict[tuple[str, str], tuple[tuple, str]] = {}
 
 
 def index(spark: SparkSession, sf_dir: str) -> search.Index:
-    """The index of ``pages``, written once a session for as long as the documents stay as they are."""
+    """The index of ``pages``, with the file each is of, written once a session for as long as the documents stay as they are."""
     key, now = (spark.sparkContext.applicationId, sf_dir), stamp(spark, f"{sf_dir}/documents.parquet")
     known = _WRITTEN.get(key)
     if known is None or known[0] != now or not exists(spark, f"{known[1]}/totals/_SUCCESS"):
         folder = Scratch(spark, "index").path("pages-of-eight-lines")
         # a shard of 64 takes another task for each 64 files of documents
-        search.write_index(pages(spark, sf_dir), folder, min(64, 1 + now[0] // search.SHARDS))
+        docs = _as_files(read(spark, sf_dir, "documents", "doc_id", "text", "source"))
+        search.write_index(search.derived_pages(docs, keep=FILE), folder, min(64, 1 + now[0] // search.SHARDS))
         _WRITTEN[key] = known = (now, folder)
     return search.read_index(spark, known[1])
 
@@ -45,11 +46,17 @@ def common_words(spark: SparkSession, sf_dir: str) -> list[str]:
     return [r["term"] for r in found.orderBy(F.desc("n"), "term").limit(COMMON).collect()]
 
 
+FILE = ["path", "title", "content_hash"]
+
+
+def _as_files(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"path": F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".pdf"))),
+                             "title": F.concat_ws(" ", F.lit("Manual"), "source"), "content_hash": F.upper(F.sha2("text", 256))})
+
+
 def library(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files of a library: path, title, content_hash beside doc_id; the path is source/doc_id.pdf."""
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".pdf"))).alias("path"),
-                       F.concat_ws(" ", F.lit("Manual"), "source").alias("title"), F.upper(F.sha2("text", 256)).alias("content_hash"))
+    return _as_files(table(spark, sf_dir, "documents")).select("doc_id", *FILE)
 
 
 DP = """dp as (

@@ -13,6 +13,7 @@ PAGE = {"decoded": 100, "undecoded_times": 4, "full_page_image": 0.5, "glyphs":
 RATES = {("Drawn", 300): 89.4, ("Drawn", 400): 70.8, ("Drawn", 600): 44.0, ("Raster", 300): 43.9, ("Raster", 400): 45.4, ("Raster", 600): 28.0}
 UNDER_EXTRACTED_SHARE = 0.10
 LONGEST_TITLE_WORD = 4
+STRAY_GLYPHS, SCAN_IMAGE = 40, 0.5
 
 
 def page_verdict() -> tuple[Column, Column, Column]:
@@ -163,6 +164,33 @@ def sample_rows(rows: DataFrame, count: int, seed: int, keys: list[str]) -> Data
     return rows.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(count)
 
 
+def sample_unflagged(documents: DataFrame, findings: DataFrame, count: int, seed: int) -> DataFrame:
+    """path, page_number of a seeded sample of the pages of documents(path, page_count) that no finding names."""
+    every = documents.filter("page_count > 0").select("path", F.explode(F.sequence(F.lit(1), F.col("page_count").cast("int"))).alias("page_number"))
+    return sample_rows(every.join(findings.select("path", "page_number"), ["path", "page_number"], "left_anti"), count, seed, ["path", "page_number"])
+
+
+def scans_without_text(pages: DataFrame, most_glyphs: int = STRAY_GLYPHS, least_image: float = SCAN_IMAGE) -> DataFrame:
+    """pages(glyphs, hidden, image, ...) that are scans without a text layer: few stray glyphs, no hidden text, one image over half the page."""
+    return pages.filter((F.col("glyphs") <= most_glyphs) & ~F.col("hidden") & (F.least(F.lit(1.0), F.col("image")) >= least_image))
+
+
+def miss_advice(groups: DataFrame, outstanding: DataFrame, by: str, worst: int = 5) -> DataFrame:
+    """by, hits, advice, outstanding, worst of groups(by, hits, audited) and the documents (by, path, outstanding, recoverable) with open pages.
+
+    found; unproven without an audit; outstanding, naming the worst documents (most recoverable characters first); else absent.
+    Only the worst of each group are gathered, so a group may have any number of documents.
+    """
+    order = Window.partitionBy(by).orderBy(F.desc("recoverable"), F.desc("outstanding"), "path")
+    first = outstanding.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= worst)
+    named = first.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "path"))), lambda x: x["path"]), ",").alias("names"))
+    both = groups.join(outstanding.groupBy(by).agg(F.sum("outstanding").alias("open")), by, "left").join(named, by, "left")
+    open_ = F.coalesce("open", F.lit(0))
+    told = (F.col("hits") == 0) & F.col("audited")
+    say = F.when(F.col("hits") > 0, "found").when(~F.col("audited"), "unproven").when(open_ > 0, "outstanding").otherwise("absent")
+    return both.select(by, "hits", say.alias("advice"), F.when(told, open_).otherwise(0).alias("outstanding"), F.when(told & (open_ > 0), F.col("names")).otherwise("").alias("worst"))
+
+
 def publisher_pages(pages: DataFrame, count: int, per_document: int = 2, least_chars: int = 900) -> DataFrame:
     """Pages fit as truth: verdict Fine, few paths and images, decoded in full; one a fingerprint, so many a document."""
     fit = pages.filter((F.col("verdict") == "Fine") & ~F.col("type3") & (F.col("path_ops") < 40) & (F.col("image") <= 0.10)
@@ -180,10 +208,10 @@ def heading_missing(title: Column, text: Column) -> Column:
 
 
 def run_report(pages: DataFrame, seconds: Column | str = "seconds") -> DataFrame:
-    """pages, total and largest seconds, pages a minute (0 without time)."""
+    """pages; total, mean and largest seconds; pages a minute (0 without time)."""
     s = F.col(seconds) if isinstance(seconds, str) else seconds
     total = F.coalesce(F.sum(s), F.lit(0.0))
-    return pages.agg(F.count("*").alias("pages"), total.alias("seconds"), F.max(s).alias("slowest"), F.when(total > 0, F.count("*") * 60 / total).otherwise(0.0).alias("pages_per_minute"))
+    return pages.agg(F.count("*").alias("pages"), total.alias("seconds"), F.avg(s).alias("mean"), F.max(s).alias("slowest"), F.when(total > 0, F.count("*") * 60 / total).otherwise(0.0).alias("pages_per_minute"))
 
 
 def fold_rate(before: float | None, before_pages: float | None, rate: float, pages: float, most: float = 5_000) -> tuple[float, float]:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import content_hash, edge_fingerprint
+from ..plans.ordering import in_order, with_row_number
+from ..plans.storage import Scratch
 
 REPORT = ("path", "pages", "text_class", "action", "alphanumeric_per_page", "plausible_ratio", "common_share", "duplicate_of", "blocker", "error")
 
@@ -29,6 +33,37 @@ def hashes(spark: SparkSession, root: str, pattern: str = "*.pdf") -> DataFrame:
     return files.select("path", content_hash(F.col("content")).alias("content_hash"), edge_fingerprint(F.col("content")).alias("edge_hash"))
 
 
+def extract_pages(files: DataFrame, extractor: Callable[[bytes], Iterable[Callable[[], str]]], key: str = "path") -> DataFrame:
+    """key, page_number (from 1), text, error of files(key, content): ``extractor`` gives a file's pages as calls that return their text.
+
+    A page that fails has an empty text and its error; a file whose pages cannot even be listed has one
+    row, without a page number. No file ends another's reading.
+    """
+    schema = T.StructType([files.schema[key], T.StructField("page_number", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
+
+    def of_file(content: bytes | None) -> Iterator[tuple]:
+        try:
+            pages = list(extractor(bytes(content or b"")))
+        except Exception as e:  # noqa: BLE001  any failure of a reader is a row
+            yield None, "", f"{type(e).__name__}: {e}"
+            return
+        for n, page in enumerate(pages, 1):
+            try:
+                yield n, page(), None
+            except Exception as e:  # noqa: BLE001
+                yield n, "", f"{type(e).__name__}: {e}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):  # a file's pages leave before the next file is read
+                rows = list(of_file(batch.column("content")[i].as_py()))
+                keys = batch.column(key).slice(i, 1).take(pa.array([0] * len(rows), pa.int32()))
+                number, text, error = zip(*rows) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([keys, pa.array(number, pa.int32()), pa.array(text, pa.string()), pa.array(error, pa.string())], names=schema.names)
+
+    return files.select(key, "content").mapInArrow(run, schema)
+
+
 def sidecars(pages: DataFrame) -> DataFrame:
     """doc_id, sidecar: a document's pages in order under lines ``--- page N ---``. A document is one row."""
     block = F.concat(F.lit("--- page "), F.col("page_number").cast("string"), F.lit(" ---\n"), F.coalesce("text", F.lit("")), F.lit("\n"))
@@ -97,6 +132,13 @@ def page_list(pages: DataFrame) -> DataFrame:
     return pages.select(F.concat_ws("\t", "path", F.col("page").cast("string")).alias("value"))
 
 
+def book_manifest(outcomes: DataFrame, scratch: Scratch) -> DataFrame:
+    """book_page, page, path, error of outcomes(nth, path, page, error): pages that could be rendered are numbered from 1 in their order, others 0."""
+    good = with_row_number(in_order(outcomes.filter("error is null"), ["nth"], scratch, "book"))
+    numbered = good.select((F.col("row_number") + 1).alias("book_page"), "page", "path", "error")
+    return numbered.unionByName(outcomes.filter("error is not null").select(F.lit(0).cast("long").alias("book_page"), "page", "path", "error"))
+
+
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
     """page, document, query of a tab-separated list with # comments."""
     return spark.read.option("sep", "\t").option("comment", "#").schema("page int, document string, query string").csv(path)

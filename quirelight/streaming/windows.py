@@ -51,9 +51,65 @@ def count_time_windows(rows: DataFrame, key: str, ts: str, level: int = 1) -> Da
     return rows.select(F.col(key).cast("string").alias("key"), F.col(ts).alias("ts")).groupBy("key").applyInPandas(whole, WINDOWS)
 
 
-def completions(pages: DataFrame) -> DataFrame:
-    """path, done: a stream of pages(path, page_count) counted until all of a document's pages are accounted for."""
-    return pages.groupBy("path", "page_count").agg(F.count("*").alias("done")).filter("done = page_count").select("path", "done")
+def completions(pages: DataFrame, patience: int = 86_400_000) -> DataFrame:
+    """path, done: a stream (or a table) of pages(path, page_count) counted until all of a document's pages are accounted for.
+
+    A document's count is forgotten when it is complete, or when none of its pages came for ``patience``
+    milliseconds, so a stream holds the open documents only.
+    """
+    if not pages.isStreaming:
+        return pages.groupBy("path", "page_count").agg(F.count("*").alias("done")).filter("done = page_count").select("path", "done")
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        done = (state.get[0] if state.exists else 0) + sum(len(p) for p in parts)
+        if done >= key[1]:
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame({"path": [key[0]], "done": [done]})
+        else:
+            state.update((done,))
+            state.setTimeoutDuration(patience)
+
+    named = pages.select(F.col("path").cast("string").alias("path"), F.col("page_count").cast("long").alias("page_count"))
+    return named.groupBy("path", "page_count").applyInPandasWithState(step, "path string, done long", "done long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+LEVELS = "key string, ts timestamp, level int"
+
+
+def stepped_levels(rows: DataFrame, key: str, ts: str, spilled: str, level: int, margin: float) -> DataFrame:
+    """key, ts, level after each window of a run (key), in order of time: one less whenever more than the margin is gone since the
+    least spilled so far, never up again; a null reading changes nothing. A stream keeps a run's level and least reading.
+    """
+    def walk(times: list, readings: list, now: int, least: float | None) -> tuple[list[int], int, float | None]:
+        out = []
+        for _, s in sorted(zip(times, readings), key=lambda r: r[0]):
+            if s is not None and s == s:
+                least = s if least is None else min(least, s)
+                if s - least > margin:
+                    least, now = s, max(1, now - 1)
+            out.append(now)
+        return out, now, least
+
+    named = rows.select(F.col(key).cast("string").alias("key"), F.col(ts).alias("ts"), F.col(spilled).cast("double").alias("spilled"))
+    if not rows.isStreaming:
+        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("ts", kind="stable")
+            return pdf[["key", "ts"]].assign(level=walk(list(pdf["ts"]), list(pdf["spilled"]), level, None)[0])
+
+        return named.groupBy("key").applyInPandas(whole, LEVELS)
+
+    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(parts)).sort_values("ts", kind="stable")
+        now, least = state.get if state.exists else (level, None)
+        out, now, least = walk(list(pdf["ts"]), list(pdf["spilled"]), now, least)
+        state.update((now, least))
+        yield pdf[["ts"]].assign(key=k[0], level=out)[["key", "ts", "level"]]
+
+    return named.groupBy("key").applyInPandasWithState(step, LEVELS, "level int, least double", "append", GroupStateTimeout.NoTimeout)
 
 
 def index_stream(spark: SparkSession, source: str, folder: str, schema: str, checkpoint: str):

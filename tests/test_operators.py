@@ -195,3 +195,42 @@ def test_sample_and_partitions(spark):
     sampled = audit.sample_pages(spark.createDataFrame([("a", 100), ("b", 4), ("c", 0), ("d", 400)], "path string, page_count int"), 8).groupBy("path").agg(F.count("*").alias("n"), F.min("page_number").alias("lo"), F.max("page_number").alias("hi"))
     got = {r.path: r for r in sampled.collect()}
     assert (got["a"].n, got["b"].n) == (8, 4) and "c" not in got and 40 <= got["d"].lo and got["d"].hi <= 360
+
+
+def test_levels_step_down_and_documents_complete_in_streams(spark, tmp_path):
+    start = pd.Timestamp("2024-01-01")
+    readings = [10.0, 12.0, None, 70.0, 71.0, 125.0, 60.0, 130.0, 300.0, 400.0, 500.0]
+    rows = [("k", (start + pd.Timedelta(seconds=i)).to_pydatetime(), r) for i, r in enumerate(readings)] + [("l", start.to_pydatetime(), 5.0)]
+    frame = spark.createDataFrame(rows, "key string, ts timestamp, spilled double")
+    want = audit.step_down(4, readings, 50)
+    got = [r.level for r in windows.stepped_levels(frame, "key", "ts", "spilled", 4, 50).orderBy("key", "ts").collect()]
+    assert got == [*want, 4] and min(want) == 1
+    frame.write.parquet(str(tmp_path / "in"))
+    stream = windows.stepped_levels(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in")), "key", "ts", "spilled", 4, 50)
+    stream.writeStream.format("memory").queryName("levels").option("checkpointLocation", str(tmp_path / "cp1")).trigger(availableNow=True).start().awaitTermination(120)
+    assert [r.level for r in spark.table("levels").orderBy("key", "ts").collect()] == [*want, 4]
+    pages = spark.createDataFrame([("a", 3)] * 3 + [("b", 4)] * 3, "path string, page_count long")
+    for k in range(2):
+        pages.filter("path = 'a'" if k else "path = 'b'").write.parquet(str(tmp_path / f"pages/{k}"))
+    done = windows.completions(spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "pages")))
+    done.writeStream.format("memory").queryName("done").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start().awaitTermination(120)
+    assert [tuple(r) for r in spark.table("done").collect()] == [("a", 3)] == [tuple(r) for r in windows.completions(pages).collect()]
+
+
+def test_dehyphenation_keeps_line_ends():
+    assert state.rejoin("one\ntwo fre-\nquency, x\nend", WORDS) == ("one\ntwo frequency , x\nend", "fre-quency")
+
+
+def test_samples_of_pages_not_flagged(spark):
+    documents = spark.createDataFrame([("a", 5), ("b", 0), ("c", 30)], "path string, page_count int")
+    findings = spark.createDataFrame([("a", 1), ("a", 2), ("c", 7)], "path string, page_number int")
+    got = [tuple(r) for r in audit.sample_unflagged(documents, findings, 100, 3).collect()]
+    assert sorted(got) == sorted([("a", p) for p in (3, 4, 5)] + [("c", p) for p in range(1, 31) if p != 7])
+    assert [tuple(r) for r in audit.sample_unflagged(documents.repartition(3), findings, 5, 3).collect()] == got[:5]
+
+
+def test_word_sequences_of_many_kinds(spark):
+    long = " ".join(f"w{i}" for i in range(3_000))
+    frame = spark.createDataFrame([(long, long + " w1 w1"), ("a a b", "b a c c"), ("", "")], "truth string, recognised string")
+    assert [r.unordered_errors for r in evaluate.accuracy(frame.limit(1)).collect()] == [2]
+    assert sorted(r.unordered_errors for r in evaluate.accuracy(frame.filter("length(truth) < 10")).collect()) == [0, 2]

@@ -121,3 +121,16 @@ def test_snippets_are_fts5s(spark):
     frame = spark.createDataFrame([(texts[0],), (None,), ("",)], "t string")
     got = [r[0] for r in frame.select(snippet_column(F.col("t"), qy.parse("alpha"))).collect()]
     assert got == [snippet(texts[0], qy.phrases(qy.parse("alpha"))), "", ""]
+
+
+def test_the_snippet_query_is_fts5s(spark):
+    from conftest import SMALL
+
+    from quirelight.catalog import QUERIES, tables
+
+    con = sqlite3.connect(":memory:")
+    con.execute("create virtual table p using fts5(text, d unindexed, n unindexed, tokenize='unicode61 remove_diacritics 2')")
+    con.executemany("insert into p (d, n, text) values (?, ?, ?)", [tuple(r) for r in tables.pages(spark, SMALL).collect()])
+    want = {(d, n): " ".join(s.split()) for d, n, s in con.execute("""select d, n, snippet(p, 0, '[', ']', ' … ', 24) from p where p match '"of the" OR licensed'""")}
+    got = QUERIES["search_snippets"](spark, SMALL).collect()
+    assert got and all(r.snippet == want[r.doc_id, r.page_number] for r in got)
