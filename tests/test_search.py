@@ -54,8 +54,21 @@ def test_written_index_reads_the_shards_of_its_terms(spark, pages, tmp_path):
     index = search.read_index(spark, str(tmp_path))
     node = qy.parse('"alpha beta"')
     assert sorted(map(tuple, search.matching(index, node).collect())) == sorted(map(tuple, search.matching(built, node).collect()))
-    plan = index.of_terms(["alpha"])._jdf.queryExecution().toString()
-    assert re.search(r"PartitionFilters: \[[^\]]*shard", plan)
+    for terms, prefix in ((["alpha"], None), ([], "alp"), (["beta"], "ga")):
+        plan = index.of_terms(terms, prefix)._jdf.queryExecution().toString()
+        assert re.search(r"PartitionFilters: \[[^\]]*shard", plan)
+    for query in ("gam*", "g*", "alpha AND beta", "NEAR(alpha beta, 2)"):
+        got = {(r.doc_id, r.page_number): r.score for r in search.bm25(index, qy.parse(query)).collect()}
+        want = {(r.doc_id, r.page_number): r.score for r in search.bm25(built, qy.parse(query)).collect()}
+        assert got == pytest.approx(want)
+
+
+def test_a_search_reads_no_document(spark, pages, tmp_path):
+    """All that a search scans is the written index: its postings of the terms, its page counts and its totals."""
+    _, frame, _ = pages
+    search.write_index(frame, str(tmp_path))
+    plan = search.bm25(search.read_index(spark, str(tmp_path)), qy.parse("alpha beta"))._jdf.queryExecution().toString()
+    assert "regexp_extract_all" not in plan and "text#" not in plan.split("== Physical Plan ==")[1]
 
 
 @pytest.mark.parametrize("query, expected", [
