@@ -169,3 +169,6 @@ ORACLE_SQL["run_report"] = "select count(*) as pages, sum(l_quantity) as seconds
 #: A key is a customer's, so that a fold has as many runs as a customer has orders, however many orders there are.
 QUERIES["learned_rate"] = lambda s, d: audit.learned_rates(table(s, d, "orders").select(
     F.col("o_custkey").cast("string").alias("key"), F.col("o_orderkey").alias("run"), (F.col("o_totalprice") / 1000).alias("rate"), (F.col("o_custkey") % 50 + 1).alias("pages")))
+ORACLE_SQL["learned_rate"] = """with o as (select o_custkey::varchar as key, list(struct_pack(rate := (o_totalprice / 1000)::double, pages := (o_custkey % 50 + 1)::double) order by o_orderkey) as runs from orders group by o_custkey),
+ f as (select key, list_reduce(runs, lambda a, b: struct_pack(rate := (a.rate * a.pages + b.rate * b.pages) / (a.pages + b.pages), pages := least(a.pages + b.pages, 5000.0::double))) as s from o)
+select key, s.rate as rate, s.pages as pages from f"""

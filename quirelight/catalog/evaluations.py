@@ -135,6 +135,15 @@ def command_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["command_ranks"] = command_ranks
+ORACLE_SQL["command_ranks"] = f"""with {INDEX}, f as (select term, doc_id, page_number, count(*) * 10.0 as f from tk group by all), h as (select term, count(*) as n from f group by term),
+ l as (select doc_id, page_number, list_filter(regexp_extract_all(text, '[A-Za-z]+'), lambda x: regexp_full_match(x, '[a-z]{{7,}}'))[1:2] as w from dp),
+ p as (select doc_id, page_number, array_to_string(w, ' ') as query, list_distinct(w) as kinds from l where len(w) = 2), q as (select distinct query, kinds from p), t as (select query, unnest(kinds) as term, len(kinds) as size from q),
+ s as (select query, size, doc_id, page_number, -(case when ln((pages - n + 0.5) / (n + 0.5)) > 0 then ln((pages - n + 0.5) / (n + 0.5)) else 1e-6 end) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n_tokens / mean)) as s
+   from t join f using (term) join h using (term) join st using (doc_id, page_number), const),
+ m as (select query, doc_id, page_number, round(sum(s), 9) as score from s group by query, size, doc_id, page_number having count(*) = size),
+ r as (select *, row_number() over (partition by query order by score, doc_id, page_number) as rank from m), d as (select query, doc_id, min(rank) as document_rank from r group by all),
+ x as (select rank, document_rank from p left join r using (query, doc_id, page_number) left join d using (query, doc_id))
+select count(*) as asked, count(rank) as found, count(*) filter (rank <= 10) as page_within_10, count(*) filter (document_rank <= 10) as document_within_10, count(*) filter (document_rank <= 1) as document_first from x"""
 
 
 def _grown(spark: SparkSession, sf_dir: str) -> DataFrame:
