@@ -9,10 +9,13 @@ their key and worked on one at a time; many small ones share a batch.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 Rect = tuple[float, float, float, float]  # left, top, right, bottom
@@ -145,15 +148,7 @@ def orphans(ink: np.ndarray, words: Sequence[Rect], line: float) -> list[Rect]:
 
     glyphs = [(float(x), float(y), float(x + w), float(y + h)) for x, y, w, h, _ in components(ink)
               if ORPHAN["least"] * line <= h <= ORPHAN["most"] * line and w <= ORPHAN["wide"] * line]
-    joined: list[list[float]] = []
-    for g in sorted(filter(free, glyphs)):
-        for m in joined:
-            together = min(m[3], g[3]) - max(m[1], g[1])
-            if m[0] <= g[0] <= m[2] + ORPHAN["join"] * line and together > 0.5 * min(m[3] - m[1], g[3] - g[1]):
-                m[:] = [m[0], min(m[1], g[1]), max(m[2], g[2]), max(m[3], g[3])]
-                break
-        else:
-            joined.append(list(g))
+    joined = _glued(sorted(filter(free, glyphs)), line)
 
     def between(c: list[float]) -> bool:
         middle, tall = (c[1] + c[3]) / 2, c[3] - c[1]
@@ -245,6 +240,232 @@ def _raster(page: dict[str, list]) -> tuple[np.ndarray, dict[str, list[Rect]]]:
     return ink, boxes
 
 
+class Boxes(NamedTuple):
+    """Boxes of many pages: the number of each box's page, and its sides. Pages stand in order."""
+
+    page: np.ndarray
+    x: np.ndarray
+    y: np.ndarray
+    w: np.ndarray
+    h: np.ndarray
+
+    def of(self, held: np.ndarray) -> Boxes:
+        return Boxes(*(c[held] for c in self))
+
+
+def gathered(rows: DataFrame, page: str, kinds: Sequence[str]) -> DataFrame:
+    """A row for each page with an array of (x, y, w, h) for each kind."""
+    return rows.groupBy(page).agg(*(F.collect_list(F.when(F.col("kind") == k, F.struct("x", "y", "w", "h"))).alias(k) for k in kinds))
+
+
+def on_pages(pages: DataFrame, page: str, kinds: Sequence[str], run: Callable, one: Callable, fields: Sequence[T.StructField]) -> DataFrame:
+    """page and ``fields`` of pages(page, an array of boxes for each kind, ink first): ``run`` works on the boxes of a batch of pages at once and returns the pages' numbers and the columns.
+
+    ``one`` works on the raster and boxes of one page, and does so for pages whose ink lies off the raster.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = T.StructType([pages.schema[page], *fields])
+    arrow = to_arrow_schema(schema)
+
+    def boxes(lists: pa.Array) -> Boxes:
+        size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        flat = lists.flatten()
+        return Boxes(np.repeat(np.arange(len(size)), size), *(pc.struct_field(flat, [c]).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in "xywh"))
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            held = [boxes(part.column(k)) for k in kinds]
+            odd = odd_pages(held[0], part.num_rows)
+            at, columns = run(*(b.of(~odd[b.page]) for b in held)) if odd.any() else run(*held)
+            yield pa.RecordBatch.from_arrays([part.column(page).take(pa.array(at)), *(pa.array(c, f.type) for c, f in zip(columns, list(arrow)[1:]))], schema=arrow)
+            for n in np.flatnonzero(odd):
+                mine = {k: list(zip(*(c.tolist() for c in b.of(b.page == n)[1:]))) for k, b in zip(kinds, held)}
+                ink, rects = _raster({"kind": [k for k in kinds for _ in mine[k]], **{c: [r[i] for k in kinds for r in mine[k]] for i, c in enumerate("xywh")}})
+                if rows := one(ink, *(rects.get(k, []) for k in kinds[1:])):
+                    yield pa.RecordBatch.from_arrays([part.column(page).take(pa.array([n] * len(rows))), *(pa.array(c, f.type) for c, f in zip(zip(*rows), list(arrow)[1:]))], schema=arrow)
+
+    return pages.select(page, *kinds).mapInArrow(batches, schema)
+
+
+def odd_pages(ink: Boxes, pages: int, widest: float = 2.0**20) -> np.ndarray:
+    """Pages with ink that is no run on a raster: before its edges, of no height, without a number, or beyond what the keys of runs hold."""
+    with np.errstate(invalid="ignore"):
+        right = (ink.x >= 0) & (ink.y >= 0) & (ink.w >= 0) & (ink.h >= 1) & (ink.x + ink.w < widest) & (ink.y + ink.h < widest)
+    out = np.zeros(pages, bool)
+    out[ink.page[~right]] = True
+    return out
+
+
+def pairs(first: np.ndarray, size: np.ndarray, most: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) for every j of first[i] ... first[i] + size[i] - 1, some ``most`` at a time."""
+    total, start = np.concatenate([[0], np.cumsum(size)]), 0
+    while start < len(size):
+        stop = max(start + 1, int(np.searchsorted(total, total[start] + most, "right")) - 1)
+        i = np.repeat(np.arange(start, stop), size[start:stop])
+        yield i, np.arange(len(i)) - np.repeat(total[start:stop] - total[start] - first[start:stop], size[start:stop])
+        start = stop
+
+
+def with_those_of(page: np.ndarray, boxes: Boxes) -> tuple[np.ndarray, np.ndarray]:
+    """(first, size): the boxes of the same page."""
+    first = np.searchsorted(boxes.page, page)
+    return first, np.searchsorted(boxes.page, page, "right") - first
+
+
+def runs_of_pages(ink: Boxes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(line, begin, end, lines a page): the inked runs of all pages, in order, those that touch made one; a page's rows are so many lines, of which the last is blank."""
+    line, a, b = ink.y.astype(np.int64), ink.x.astype(np.int64), (ink.x + ink.w).astype(np.int64)
+    lines = int(line.max(initial=0)) + 2
+    line += ink.page * lines
+    wide = int(b.max(initial=0)) + 1
+    line, a, b = (c[a < b] for c in (line, a, b))
+    key = line * wide + a
+    if (key[1:] < key[:-1]).any():
+        order = np.argsort(key, kind="stable")
+        line, a, b, key = line[order], a[order], b[order], key[order]
+    new = np.concatenate([[True], key[1:] > np.maximum.accumulate(line * wide + b)[:-1]])[:len(key)]
+    at = np.flatnonzero(new)
+    return line[at], a[at], np.maximum.reduceat(b, at) if len(at) else b, lines
+
+
+def blob_of_runs(line: np.ndarray, a: np.ndarray, b: np.ndarray, diagonal: bool = True) -> np.ndarray:
+    """The first run of the blob of each; runs in order, apart from each other, join those they touch in the line before."""
+    reach, wide = int(diagonal), int(b.max(initial=0)) + 3
+    first = np.searchsorted(line * wide + b + 1, (line - 1) * wide + a + 1 - reach, "right")
+    size = np.maximum(np.searchsorted(line * wide + a + 1, (line - 1) * wide + b + 1 + reach) - first, 0)
+    found = list(pairs(first, size, 1 << 62))
+    u, v = found[0] if found else (line[:0], line[:0])
+    root = np.arange(len(line))
+    while len(u):
+        root[np.maximum(u, v)] = np.minimum(u, v)
+        while ((up := root[root]) != root).any():
+            root = up
+        u, v = root[u], root[v]
+        u, v = u[apart := u != v], v[apart]
+    return root
+
+
+def boxes_of_runs(line: np.ndarray, a: np.ndarray, b: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(first line, x, width, height, pixels) of each blob."""
+    order = np.argsort(root, kind="stable")
+    line, a, b, root = line[order], a[order], b[order], root[order]
+    at = np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1]])[:len(root)])
+    if not len(at):
+        return (line,) * 5
+    top, x = np.minimum.reduceat(line, at), np.minimum.reduceat(a, at)
+    return top, x, np.maximum.reduceat(b, at) - x, np.maximum.reduceat(line, at) + 1 - top, np.add.reduceat(b - a, at)
+
+
+def holes_of_pages(ink: Boxes, text: Boxes, points_per_pixel: float) -> tuple[np.ndarray, list[np.ndarray]]:
+    """What ``holes_in_blocks`` finds, of many pages at once."""
+    line, a, b, lines = runs_of_pages(ink)
+    top, x, w, h, n = boxes_of_runs(line, a, b, blob_of_runs(line, a, b))
+    starts = np.flatnonzero(np.concatenate([[True], ink.page[1:] != ink.page[:-1]])[:len(ink.page)])
+    high, wide = np.zeros((2, int(ink.page.max(initial=-1)) + 1))
+    if len(starts):
+        high[ink.page[starts]], wide[ink.page[starts]] = (np.floor(np.maximum.reduceat(c, starts)) for c in (ink.y + ink.h, ink.x + ink.w))
+    page = top // lines
+    block = ~((n < BLOCK["fill"] * w * h) | (w * h * points_per_pixel**2 < BLOCK["least_area"]) | (w * h > BLOCK["most_share"] * high[page] * wide[page]))
+    page, top, x, w, h = (c[block] for c in (page, top, x, w, h))
+    # the ink inside each block's box, and the blanks between
+    first = np.searchsorted(line, top)
+    found = list(pairs(first, np.searchsorted(line, top + h) - first, 1 << 62))
+    k, i = found[0] if found else (line[:0], line[:0])
+    left, right, row = np.maximum(a[i], x[k]), np.minimum(b[i], x[k] + w[k]), line[i]
+    k, left, right, row = (c[left < right] for c in (k, left, right, row))
+    same = (k[1:] == k[:-1]) & (row[1:] == row[:-1])
+    begins, ends = np.concatenate([[True], ~same])[:len(k)], np.concatenate([~same, [True]])[:len(k)]
+    gap_k, gap_row = (np.concatenate([c[begins], c[:-1][same], c[ends]]) for c in (k, row))
+    gap_a = np.concatenate([x[k[begins]], right[:-1][same], right[ends]])
+    gap_b = np.concatenate([left[begins], left[1:][same], (x + w)[k[ends]]])
+    there = gap_a < gap_b
+    gap_k, gap_row, gap_a, gap_b = (c[there] for c in (gap_k, gap_row, gap_a, gap_b))
+    step = int(h.max(initial=0)) + 2
+    gap_line = gap_k * step + gap_row - top[gap_k]
+    order = np.lexsort((gap_a, gap_line))
+    gap_k, gap_row, gap_a, gap_b, gap_line = (c[order] for c in (gap_k, gap_row, gap_a, gap_b, gap_line))
+    edge = (gap_row == top[gap_k]) | (gap_row == (top + h)[gap_k] - 1) | (gap_a == x[gap_k]) | (gap_b == (x + w)[gap_k])
+    root = blob_of_runs(gap_line, gap_a, gap_b, diagonal=False)
+    outside = np.zeros(len(root), bool)
+    outside[root[edge]] = True
+    gap_line, gap_a, gap_b = (c[~outside[root]] for c in (gap_line, gap_a, gap_b))
+    hole_line, hole_x, c, d, n = boxes_of_runs(gap_line, gap_a, gap_b, blob_of_runs(gap_line, gap_a, gap_b))
+    p = points_per_pixel
+    like = (LETTER["least"] <= d * p) & (d * p <= LETTER["most"]) & (c * p <= LETTER["most"]) & (np.maximum(c, d) <= LETTER["aspect"] * np.minimum(c, d)) & (n >= LETTER["fill"] * c * d)
+    hole_line, hole_x, c, d, n = (v[like] for v in (hole_line, hole_x, c, d, n))
+    k = hole_line // step
+    page, hole_y = page[k], hole_line - k * step + top[k] - page[k] * lines
+    mid_x, mid_y = hole_x + c / 2, hole_y + d / 2
+    told = np.zeros(len(page), bool)
+    for g, t in pairs(*with_those_of(page, text)):
+        l, u = text.x[t], text.y[t]  # noqa: E741
+        told[g[(l <= mid_x[g]) & (mid_x[g] <= l + text.w[t]) & (u <= mid_y[g]) & (mid_y[g] <= u + text.h[t])]] = True
+    return page[~told], [v[~told] for v in (*(np.asarray(v, float) for v in (hole_x, hole_y, c, d)), n)]
+
+
+def _glued(glyphs: list[list[float]], line: float) -> list[list[float]]:
+    """Sorted glyphs (left, top, right, bottom), those that begin inside or close behind another of their height joined to the first such."""
+    out: list[list[float]] = []
+    for g in glyphs:
+        for m in out:
+            together = min(m[3], g[3]) - max(m[1], g[1])
+            if m[0] <= g[0] <= m[2] + ORPHAN["join"] * line and together > 0.5 * min(m[3] - m[1], g[3] - g[1]):
+                m[:] = [m[0], min(m[1], g[1]), max(m[2], g[2]), max(m[3], g[3])]
+                break
+        else:
+            out.append(list(g))
+    return out
+
+
+def orphans_of_pages(ink: Boxes, words: Boxes, line: float) -> tuple[np.ndarray, list[np.ndarray]]:
+    """What ``orphans`` finds, of many pages at once."""
+    row, a, b, lines = runs_of_pages(ink)
+    top, x, w, h, _ = boxes_of_runs(row, a, b, blob_of_runs(row, a, b))
+    fit = (ORPHAN["least"] * line <= h) & (h <= ORPHAN["most"] * line) & (w <= ORPHAN["wide"] * line)
+    top, x, w, h = (c[fit] for c in (top, x, w, h))
+    page = top // lines
+    y = top - page * lines
+    box = np.stack([x, y, x + w, y + h], axis=1).astype(float)
+    order = np.lexsort((box[:, 3], box[:, 2], box[:, 1], box[:, 0], page))
+    page, box = page[order], box[order]
+    word = np.stack([words.x, words.y, words.x + words.w, words.y + words.h], axis=1)
+    wide, high = word[:, 2] - word[:, 0], word[:, 3] - word[:, 1]
+    size = np.where(wide > high, np.maximum(line, high), line)
+    clear = word + np.stack([-ORPHAN["clear"] * size, -ORPHAN["clear_y"] * size, ORPHAN["clear"] * size, ORPHAN["clear_y"] * size], axis=1)
+    met = np.zeros(len(page), bool)
+    for g, t in pairs(*with_those_of(page, words)):
+        met[g[(clear[t, 0] <= box[g, 2]) & (box[g, 0] <= clear[t, 2]) & (clear[t, 1] <= box[g, 3]) & (box[g, 1] <= clear[t, 3])]] = True
+    page, box = page[~met], box[~met]
+
+    # glyphs are joined one after the other, which matters only on pages where any two can be
+    close = np.zeros(len(page), bool)
+    for g, t in pairs(np.arange(1, len(page) + 1), np.searchsorted(page, page, "right") - np.arange(1, len(page) + 1)):
+        together = np.minimum(box[g, 3], box[t, 3]) - np.maximum(box[g, 1], box[t, 1])
+        close[g[(box[t, 0] <= box[g, 2] + ORPHAN["join"] * line) & (together > 0.5 * np.minimum(box[g, 3] - box[g, 1], box[t, 3] - box[t, 1]))]] = True
+    for n in np.unique(page[close]).tolist():
+        mine = page == n
+        glued = np.array(_glued(box[mine].tolist(), line))
+        at = int(np.searchsorted(page, n))
+        page, box = np.concatenate([page[~mine][:at], np.full(len(glued), n), page[~mine][at:]]), np.concatenate([box[~mine][:at], glued, box[~mine][at:]])
+
+    mate = high > STACK["speck"] * line
+    mates, word = words.of(mate), word[mate]
+    sides, middle, tall = np.zeros((2, len(page)), bool), (box[:, 1] + box[:, 3]) / 2, box[:, 3] - box[:, 1]
+    for g, t in pairs(*with_those_of(page, mates)):
+        height = word[t, 3] - word[t, 1]
+        ok = (word[t, 1] < middle[g]) & (middle[g] < word[t, 3]) & (height >= 0.8 * tall[g]) & (height <= 2.2 * tall[g])
+        ok &= np.minimum(np.abs(word[t, 0] - box[g, 2]), np.abs(box[g, 0] - word[t, 2])) < ORPHAN["near"] * line
+        sides[0, g[ok & (word[t, 2] <= box[g, 0])]] = True
+        sides[1, g[ok & (word[t, 0] >= box[g, 2])]] = True
+    page, box = page[held := sides.all(axis=0)], box[held]
+    centre, column, first = (box[:, 0] + box[:, 2]) / 2, np.zeros(len(page), np.int64), np.searchsorted(page, page)
+    for g, t in pairs(first, np.searchsorted(page, page, "right") - first):
+        column += np.bincount(g[np.abs(centre[t] - centre[g]) < ORPHAN["column"] * line], minlength=len(page))
+    page, box = page[column >= 3], box[column >= 3]
+    return page, [box[:, 0], box[:, 1], box[:, 2] - box[:, 0], box[:, 3] - box[:, 1]]
+
+
 _BOX = [T.StructField(n, T.DoubleType()) for n in "xywh"]
 _PIXELS = T.StructField("pixels", T.LongType())
 _ORDER = ("kind", "y", "x", "w", "h")
@@ -257,22 +478,24 @@ def blobs(rows: DataFrame, page: str = "page_id") -> DataFrame:
 
 def reversed_letters(rows: DataFrame, points_per_pixel: float, page: str = "page_id") -> DataFrame:
     """page, x, y, w, h, pixels of the letters left blank in solid blocks, those under ``text`` boxes left out."""
+    return reversed_on_pages(gathered(rows, page, ["ink", "text"]), points_per_pixel, page)
 
-    def run(p: dict[str, list]) -> list[tuple]:
-        ink, boxes = _raster(p)
-        return [(*map(float, b[:4]), b[4]) for b in holes_in_blocks(ink, boxes.get("text", []), points_per_pixel)]
 
-    return by_page(rows, page, _ORDER, run, [*_BOX, _PIXELS])
+def reversed_on_pages(pages: DataFrame, points_per_pixel: float, page: str = "page_id") -> DataFrame:
+    """The same of pages(page, ink, text), a row each with arrays of (x, y, w, h), and without a shuffle."""
+    one = lambda ink, text: holes_in_blocks(ink, text, points_per_pixel)
+    return on_pages(pages, page, ["ink", "text"], lambda ink, text: holes_of_pages(ink, text, points_per_pixel), one, [*_BOX, _PIXELS])
 
 
 def orphan_glyphs(rows: DataFrame, line: float, page: str = "page_id") -> DataFrame:
     """page, x, y, w, h of ink that stands in a column between words of its rows; ``word`` rows are the recognised words."""
+    return orphans_on_pages(gathered(rows, page, ["ink", "word"]), line, page)
 
-    def run(p: dict[str, list]) -> list[tuple]:
-        ink, boxes = _raster(p)
-        return [(a, b, c - a, d - b) for a, b, c, d in orphans(ink, boxes.get("word", []), line)]
 
-    return by_page(rows, page, _ORDER, run, _BOX)
+def orphans_on_pages(pages: DataFrame, line: float, page: str = "page_id") -> DataFrame:
+    """The same of pages(page, ink, word), a row each with arrays of (x, y, w, h), and without a shuffle."""
+    one = lambda ink, words: [(a, b, c - a, d - b) for a, b, c, d in orphans(ink, words, line)]
+    return on_pages(pages, page, ["ink", "word"], lambda ink, words: orphans_of_pages(ink, words, line), one, _BOX)
 
 
 def cut_stacks(rows: DataFrame, line: float, page: str = "page_id") -> DataFrame:
