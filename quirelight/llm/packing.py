@@ -35,8 +35,9 @@ from .textbytes import BLANK, equal_spans, lots, span_hashes, text_bytes
 
 SEQUENCE = 4_096
 END_ID = 2
-#: Units a worker keeps the ids of; when there are more, it starts its table anew.
-KEPT_UNITS = 1_500_000
+#: Units a worker keeps the ids of, some 70 bytes each; when there are more, it starts its table anew. The table
+#: outlives its stage in a worker that Spark uses again.
+KEPT_UNITS = 300_000
 #: Rows of (task, length, earlier pieces), 24 bytes each, that are broadcast at most.
 BROADCAST_COUNTS = 1_300_000
 _BLOCK = 64  # ranks a pattern row covers at most in the join

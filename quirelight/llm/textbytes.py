@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Texts are worked on in lots of about this many bytes, whatever an Arrow batch holds.
-LOT = 2_000_000
+#: Texts are worked on in lots of about this many bytes, whatever an Arrow batch holds. A worker that outlives
+#: its stage keeps much of the memory its largest lot took, some 60 bytes for each of a text.
+LOT = 500_000
 
 _LANE_1, _LANE_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Masks that keep the first n bytes of eight.

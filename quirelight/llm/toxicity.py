@@ -47,6 +47,8 @@ WINDOWS, TOXIC_WINDOWS, CLEAN_WINDOWS = 6_000, 40, 4
 CHAIN = 512
 EPOCHS, BATCH, RATE, DECAY = 40, 256, 0.1, 1e-5
 KEPT_WORDS = 1_500_000
+#: Bytes of a lot: the messages take a step for each token of its longest text, so large lots take fewer.
+LOT = 2_000_000
 FLOOR = -30.0
 
 _LETTER = np.zeros(256, bool)
@@ -282,7 +284,7 @@ def fit(texts: list[tuple[str, int]], share: float, seed: int = 11) -> SpanTagge
     model = SpanTagger({k: float(theta[i]) for k, i in names.items() if abs(theta[i]) > 1e-3}, float(bias[0]), np.exp(move))
     model.curve = (1.0, 0.0)
     data, offsets = text_bytes(pa.array([t for t, _ in texts]))
-    largest = [model.tag(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])[0] for a, b in lots(offsets)]
+    largest = [model.tag(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])[0] for a, b in lots(offsets, LOT)]
     model.curve = _curve(np.concatenate(largest), np.array([kind for _, kind in texts]), share)
     model.known, model.value = np.zeros(0, np.uint64), np.zeros(0)  # workers make their own
     return model
@@ -324,7 +326,7 @@ def tagged(docs: DataFrame, model: SpanTagger) -> DataFrame:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            for a, b in lots(offsets):
+            for a, b in lots(offsets, LOT):
                 score, spans = model.tag(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
                 listed = pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], kind)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(score), listed], names=["doc_id", "score", "spans"])
