@@ -19,11 +19,24 @@ CLASSES = ("ImageOnly", "SuspectText", "UnreadableTextLayer", "ProbablyGood", "G
 ACTIONS = ("Skip", "Ocr", "StripAndRedo", "CopyFromDuplicate", "ReadAgain")
 DEFAULT_POLICY = {c: "Ocr" if c in ("ImageOnly", "PartlyScanned") else "Skip" for c in CLASSES}
 
+#: Words that count as common where no list is given.
+COMMON = 300
+
 COUNTS = ("alphanumeric", "tokens", "plausible", "word_like", "common")
 
 
-def page_metrics(pages: DataFrame, common: Sequence[str]) -> DataFrame:
-    """doc_id, page_number and the counts of ``functions.text.token_metrics``; common: the words that count as such."""
+def commonest_words(pages: DataFrame, most: int = COMMON) -> list[str]:
+    """The commonest terms of letters only, of two letters or more, of these pages; ties by name."""
+    terms = pages.select(F.explode(tx.tokens(F.coalesce(F.col("text"), F.lit("")))).alias("term")).filter(F.col("term").rlike(r"^\p{L}{2,}$"))
+    found = terms.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(most)
+    return [r["term"] for r in found.collect()]
+
+
+def page_metrics(pages: DataFrame, common: Sequence[str] | None = None) -> DataFrame:
+    """doc_id, page_number and the counts of ``functions.text.token_metrics``; common: the words that count as such,
+    by default the commonest of the pages themselves (counted at once, by a scan of its own)."""
+    if common is None:
+        common = commonest_words(pages)
     rows = pages.select("doc_id", "page_number", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return rows.select("doc_id", "page_number", *(c.alias(n) for n, c in tx.token_metrics(F.col("text"), common).items()))
 

@@ -8,7 +8,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from quirelight.catalog import QUERIES
-from quirelight.operators import audit, layout
+from quirelight.operators import audit, layout, quality
 
 
 def test_reading_order_places_every_word_of_every_document(spark):
@@ -50,3 +50,10 @@ def test_learned_rate_folds_every_order(spark):
             rate, pages = audit.fold_rate(rate, pages, new, n)
         want[key] = (round(rate, 6), pages)
     assert {r.key: (round(r.rate, 6), r.pages) for r in QUERIES["learned_rate"](spark, SMALL).collect()} == want
+
+
+def test_common_words_of_the_pages_themselves(spark):
+    pages = spark.createDataFrame([(1, 1, "The probe and the meter"), (2, 1, "the Étude"), (3, 1, None)], "doc_id int, page_number int, text string")
+    assert quality.commonest_words(pages, 2) == ["the", "and"]
+    assert {r.doc_id: r.common for r in quality.page_metrics(pages).collect()} == {1: 5, 2: 2, 3: 0}
+    assert {r.doc_id: r.common for r in quality.page_metrics(pages, ["the"]).collect()} == {1: 2, 2: 1, 3: 0}
