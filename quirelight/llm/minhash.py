@@ -40,7 +40,7 @@ from ..plans.storage import Scratch
 from ..plans.tables import read
 from .components import components
 from .rows import arrow_rows, packed, row_hashes
-from .textbytes import lots, mixed, span_hashes, text_bytes, word_spans
+from .textbytes import giving_back, lots, mixed, span_hashes, text_bytes, word_spans
 
 SHINGLE = 5
 MINIMA = 400
@@ -159,7 +159,7 @@ def described(docs: DataFrame, percent: int) -> DataFrame:
                     pa.array([s.tobytes() for s in signature], pa.binary()))
 
     rows = docs.select(_node(F.col("doc_id"), F.col("text")).alias("node"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "node long, doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, signature binary")
+    return rows.mapInArrow(giving_back(run), "node long, doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, signature binary")
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -174,7 +174,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     few = ids.count() <= BROADCAST_IDS
     rows = docs.select(_node(F.col("doc_id"), F.col("text")).alias("id"), F.col("text").cast("string").alias("text"))
-    return rows.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(run, "id long, shingles binary").dropDuplicates(["id"])
+    return rows.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(giving_back(run), "id long, shingles binary").dropDuplicates(["id"])
 
 
 def _compare(pairs: DataFrame, held: DataFrame, column: str, passes) -> DataFrame:
@@ -187,7 +187,7 @@ def _compare(pairs: DataFrame, held: DataFrame, column: str, passes) -> DataFram
             yield batch.select(["a", "b"]).filter(ok)
 
     side = lambda k, v: held.select(F.col("id").alias(k), F.col(column).alias(v))
-    return pairs.join(side("a", "left"), "a").join(side("b", "right"), "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long").distinct()
+    return pairs.join(side("a", "left"), "a").join(side("b", "right"), "b").select("a", "b", "left", "right").mapInArrow(giving_back(run), "a long, b long").distinct()
 
 
 def _reaches(percent: int):
@@ -262,7 +262,7 @@ def _across(rows: DataFrame, least: int, reaches) -> DataFrame:
         if group and (found := list(links(group))):
             yield _batch(["a", "b"], *(pa.array(c, pa.int64()) for c in zip(*found)))
 
-    return parts.mapInArrow(run, "a long, b long").distinct()
+    return parts.mapInArrow(giving_back(run), "a long, b long").distinct()
 
 
 def _named(docs: DataFrame, percent: int) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 
 from ..plans.storage import Scratch
 from ..plans.tables import read
-from .textbytes import BLANK, equal_spans, lots, span_hashes, text_bytes
+from .textbytes import BLANK, equal_spans, giving_back, lots, span_hashes, text_bytes
 
 SEQUENCE = 4_096
 END_ID = 2
@@ -217,7 +217,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, longest: int = SEQUENCE, keep_
                 fields = PIECES.replace(",", "").split()[::2] + ["ids"] * keep_ids
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=fields)
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES + (", ids array<int>" if keep_ids else ""))
+    return docs.select("doc_id", "text").mapInArrow(giving_back(run), PIECES + (", ids array<int>" if keep_ids else ""))
 
 
 def pack_histogram(histogram: dict[int, int], longest: int = SEQUENCE) -> list[tuple[int, int, int, int, int]]:

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from ..plans.tables import read
 from .labelled import fold_of, labelled_texts
 from .rows import numbered
-from .textbytes import BLANK, lots, span_hashes, text_bytes, word_spans
+from .textbytes import BLANK, giving_back, lots, span_hashes, text_bytes, word_spans
 
 PASSAGE = 512
 PAIRS = 256
@@ -172,7 +172,7 @@ def scored(docs: DataFrame, model: AttentionModel, score: str = "score", attenti
 
     rows = numbered(docs)
     schema = T.StructType([*rows.schema.fields, *(T.StructField(n, T.DoubleType()) for n in ("score", "attention"))])
-    return rows.mapInArrow(run, schema).toDF(*names, score, attention)
+    return rows.mapInArrow(giving_back(run), schema).toDF(*names, score, attention)
 
 
 def op3_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:

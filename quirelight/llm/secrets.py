@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from ..plans.tables import read
 from .rows import numbered
+from .textbytes import giving_back
 
 #: The base patterns.
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -213,7 +214,7 @@ def find_secrets(docs: DataFrame, words: Sequence[str] | None = None, least_bits
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "spans", "text"][:len(columns)])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id long, spans {SPANS}" + (", text string" if redacted else ""))
+    return rows.mapInArrow(giving_back(run), f"doc_id long, spans {SPANS}" + (", text string" if redacted else ""))
 
 
 def redacted_documents(docs: DataFrame, words: Sequence[str] | None = None, least_bits: float = LEAST_BITS) -> DataFrame:
@@ -230,7 +231,7 @@ def redacted_documents(docs: DataFrame, words: Sequence[str] | None = None, leas
                 yield part.set_column(at, part.schema.field(at), pa.array(new, part.schema.field(at).type))
 
     rows = numbered(docs)
-    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
+    return rows.mapInArrow(giving_back(run), rows.schema).toDF(*docs.columns)
 
 
 def spans_text(spans: Column) -> Column:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 
 from quirelight.llm import packing, quality
-from quirelight.llm.textbytes import lots, text_bytes
+from quirelight.llm.textbytes import giving_back, lots, text_bytes
 
 
 def test_lots_bound_what_the_classifier_holds():
@@ -33,3 +35,19 @@ def test_unit_table_stays_small_and_right():
     assert sum(x.nbytes for x in kept) < 18e6
     for k in (0, 39, 40):
         assert got[k].tolist() == units.whole.encode(texts[k], add_special_tokens=False).ids
+
+
+def test_a_worker_returns_what_it_has_freed():
+    def anonymous():
+        return int(re.search(r"\nAnonymous:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+
+    def run(batches):
+        held = [np.ones(60_000, np.uint8) for _ in range(3_000)]
+        kept.append(np.ones(60_000, np.uint8))  # above the others, so that they stay with the process
+        yield from batches
+        assert len(held) == 3_000
+
+    kept: list[np.ndarray] = []
+    before = anonymous()
+    assert list(giving_back(run)(iter([1, 2]))) == [1, 2]
+    assert anonymous() - before < 60
